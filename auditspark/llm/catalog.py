@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from auditspark.llm import exact_dedup, media_columns, piece_codec, url_rules, warc_bundles
+from auditspark.llm import exact_dedup, media_columns, packing, piece_codec, url_rules, warc_bundles
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
     "op2_warc": warc_bundles.op2_warc,
     "op3_media": media_columns.op3_media,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_packing": packing.op10_packing,
     "op9_url_rules": url_rules.op9_url_rules,
 }
 ORACLE_SQL: dict[str, str] = {
