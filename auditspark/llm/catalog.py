@@ -1,16 +1,22 @@
-"""Queries of the corpus operators."""
+"""Queries of the corpus operators, and SQL for those that it can express."""
 
 from __future__ import annotations
 
-from auditspark.llm import exact_dedup, media_columns, packing, piece_codec, url_rules, warc_bundles
+import corpus_pipeline
+from auditspark.llm import exact_dedup, language_id, media_columns, near_dedup, packing, piece_codec, token_counts, toxicity, url_rules, warc_bundles
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
     "op2_warc": warc_bundles.op2_warc,
     "op3_media": media_columns.op3_media,
+    "op4_language": language_id.op4_language,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
-    "op10_packing": packing.op10_packing,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_url_rules": url_rules.op9_url_rules,
+    "op10_packing": packing.op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc_bundles.ORACLE,
