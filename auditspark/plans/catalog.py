@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from auditspark.plans import audits
+
+QUERIES: dict = {**audits.QUERIES}
+ORACLE_SQL: dict[str, str] = {**audits.ORACLE_SQL}
