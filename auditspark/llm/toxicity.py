@@ -120,7 +120,7 @@ def label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     return q
 
 
-def logistic(fires: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def logistic(fires: np.ndarray, target: np.ndarray, ridge: float = 0.2, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Weights and intercept of a ridge logistic regression on soft targets, by Newton steps."""
     x = np.hstack([fires, np.ones((len(fires), 1))])
     penalty = np.full(x.shape[1], ridge)
