@@ -78,7 +78,7 @@ def percent(c: Column) -> Column:
 def bins(c: Column, edges: Sequence[float], labels: Sequence[str], right: bool = False) -> Column:
     """Label of the interval that holds a value: closed on the left, or on the right; null outside and for null."""
     out = None
-    for low, high, label in zip(edges, edges[1:], labels, strict=True):
+    for low, high, label in zip(edges[:-1], edges[1:], labels, strict=True):
         hit = ((c > low) & (c <= high)) if right else ((c >= low) & (c < high))
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out
