@@ -44,7 +44,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     below = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / below
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / below
-    clip = lambda x: F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    clip = lambda x: F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(x, 12))))
     return clip(centre - half), clip(centre + half)
 
 

@@ -98,12 +98,14 @@ def score_counts(df: DataFrame, score: str = "score", by: Sequence[str] = ()) ->
     return df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col("actual") == 1).cast("double").alias("pos"), F.count_if(F.col("actual") != 1).cast("double").alias("neg"))
 
 
-def _running(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Running sums by falling score without a single-task window: range partitions, their totals, sums inside each.
+def _running(counts: DataFrame, columns: Sequence[str], parts: int = 64) -> DataFrame:
+    """Running sums by falling score without a single-task window: score ranges, their totals, sums inside each.
 
-    The totals are one row a partition, so they are broadcast.
+    The ranges' bounds are approximate quantiles, their totals one row a range, so both are small at any size.
     """
-    spread = counts.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
+    bounds = counts.agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"] or []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x > F.col("score")))
+    spread = counts.withColumn("part", part)
     inside = Window.partitionBy("part").orderBy(F.desc("score"))
     totals = spread.groupBy("part").agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

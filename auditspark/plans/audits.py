@@ -15,11 +15,16 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, rounded: tuple[str, ...] = ()):
+    """Registers a query. ``rounded`` columns hold sums of doubles, whose last digits depend on the order of rows."""
+
     def add(f):
-        QUERIES[name] = f
+        def run(spark, sf_dir):
+            return f(spark, sf_dir).withColumns({c: F.round(c, 8) for c in rounded})
+
+        QUERIES[name] = run if rounded else f
         if sql:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 8) AS {c}' for c in rounded)}) FROM ({sql})" if rounded else sql
         return f
 
     return add
@@ -242,7 +247,7 @@ def _wilson(k: str, n: str) -> tuple[str, str]:
     p, m = f"({k} / CAST({n} AS DOUBLE))", f"CAST({n} AS DOUBLE)"
     low = f"(1 + 3.8416 / {m})"
     centre, half = f"(({p} + 3.8416 / (2 * {m})) / {low})", f"(1.96 * sqrt({p} * (1 - {p}) / {m} + 3.8416 / (4 * {m} * {m})) / {low})"
-    return f"greatest(0.0, least(1.0, {centre} - {half}))", f"greatest(0.0, least(1.0, {centre} + {half}))"
+    return f"greatest(0.0, least(1.0, round({centre} - {half}, 12)))", f"greatest(0.0, least(1.0, round({centre} + {half}, 12)))"
 
 
 _LO, _HI = _wilson("k", "n")
@@ -308,7 +313,7 @@ def x07(spark, sf_dir) -> DataFrame:
 t AS (SELECT r_name, sum(k) / CAST(sum(n) AS DOUBLE) AS pooled, CAST(sum(n) AS DOUBLE) AS total, count(*) AS c, sum(CAST(n AS DOUBLE) * n) AS sq FROM raw GROUP BY 1),
 s AS (SELECT r_name, sum(n * pow(k / CAST(n AS DOUBLE) - pooled, 2)) AS s FROM raw JOIN t USING (r_name) GROUP BY 1),
 rho AS (SELECT r_name, pooled, greatest(1e-4, least(0.99, coalesce((s - pooled * (1 - pooled) * (c - 1)) / nullif(pooled * (1 - pooled) * (total - sq / total), 0), 1e-4))) AS rho FROM t JOIN s USING (r_name))
-SELECT cell, pooled, (k + pooled * (1 - rho) / rho) / (n + (1 - rho) / rho) AS shrunk FROM raw JOIN rho USING (r_name)""")
+SELECT cell, pooled, (k + pooled * (1 - rho) / rho) / (n + (1 - rho) / rho) AS shrunk FROM raw JOIN rho USING (r_name)""", rounded=("pooled", "shrunk"))
 def x08(spark, sf_dir) -> DataFrame:
     cells = audit.confusion_cells(views.orders(spark, sf_dir), ["r_name", "n_name", "prio"]).select("r_name", F.concat_ws(" x ", "n_name", "prio").alias("cell"), "n", F.col("sel").alias("k"))
     return intervals.eb_shrunk(cells, ["r_name"]).select("cell", "pooled", "shrunk")

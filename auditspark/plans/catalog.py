@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditspark.plans import audits, cleaning
+from auditspark.plans import audits, cleaning, studies
 
-QUERIES: dict = {**audits.QUERIES, **cleaning.QUERIES}
-ORACLE_SQL: dict[str, str] = {**audits.ORACLE_SQL, **cleaning.ORACLE_SQL}
+QUERIES: dict = {**audits.QUERIES, **cleaning.QUERIES, **studies.QUERIES}
+ORACLE_SQL: dict[str, str] = {**audits.ORACLE_SQL, **cleaning.ORACLE_SQL, **studies.ORACLE_SQL}

@@ -133,11 +133,11 @@ def p24(spark, sf_dir) -> DataFrame:
     return views.orders(spark, sf_dir).select("actual", "predicted", "r_name", "seg")
 
 
-@query("p23_feature_columns", f"WITH {ORDERS_SQL} SELECT 'price' AS feature, avg(price) AS mean FROM audit_orders UNION ALL SELECT 'balance', avg(balance) FROM audit_orders")
+@query("p23_feature_columns", f"WITH {ORDERS_SQL} SELECT 'price' AS feature, round(avg(price), 6) AS mean FROM audit_orders UNION ALL SELECT 'balance', round(avg(balance), 6) FROM audit_orders")
 def p23(spark, sf_dir) -> DataFrame:
     rows = views.orders(spark, sf_dir)
     names = clean.feature_columns(rows, ["record_id", "actual", "predicted", "score"])
-    return rows.agg(*[F.avg(n).alias(n) for n in names]).unpivot([], names, "feature", "mean")
+    return rows.agg(*[F.round(F.avg(n), 6).alias(n) for n in names]).unpivot([], names, "feature", "mean")
 
 
 for _name, _where in {"f01_membership": "o_orderstatus IN ('F', 'O')", "f04_range": "o_totalprice > 1000 AND o_totalprice < 200000"}.items():
