@@ -14,16 +14,16 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, rounded: tuple[str, ...] = ()):
+def query(name: str, sql: str | None = None, rounded: tuple[str, ...] = (), digits: int = 6):
     """Registers a query. ``rounded`` columns hold sums of doubles, whose last digits depend on the order of rows."""
 
     def add(f):
         def run(spark, sf_dir):
-            return f(spark, sf_dir).withColumns({c: F.round(c, 6) for c in rounded})
+            return f(spark, sf_dir).withColumns({c: F.round(c, digits) for c in rounded})
 
         QUERIES[name] = run if rounded else f
         if sql:
-            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounded)}) FROM ({sql})" if rounded else sql
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in rounded)}) FROM ({sql})" if rounded else sql
         return f
 
     return add
