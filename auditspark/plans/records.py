@@ -103,8 +103,8 @@ def l19(spark, sf_dir) -> DataFrame:
     return R.strategies(views.records(spark, sf_dir))
 
 
-_PRICES = [("hmda", 2.5, 10.0), ("credit", 0.5, 1.5), ("lending", 0.0, 0.0)]
-_COST = f"WITH {RECORDS_SQL}, p(dataset, ip, op) AS (VALUES ('hmda', 2.5, 10.0), ('credit', 0.5, 1.5), ('lending', 0.0, 0.0)), c AS (SELECT *, (input_tokens * ip + output_tokens * op)::DOUBLE / 1e6 AS cost FROM audit_records JOIN p USING (dataset))"
+_PRICES = [("mortgage", 2.5, 10.0), ("credit", 0.5, 1.5), ("lending", 0.0, 0.0)]
+_COST = f"WITH {RECORDS_SQL}, p(dataset, ip, op) AS (VALUES ('mortgage', 2.5, 10.0), ('credit', 0.5, 1.5), ('lending', 0.0, 0.0)), c AS (SELECT *, (input_tokens * ip + output_tokens * op)::DOUBLE / 1e6 AS cost FROM audit_records JOIN p USING (dataset))"
 
 
 def _costs(spark, sf_dir) -> DataFrame:

@@ -22,7 +22,7 @@ audit_documents AS (
   FROM documents JOIN labels USING (doc_id))"""
 RECORDS_SQL = """
 audit_records AS (
-  SELECT conv_id * 1000 + turn AS record_id, turn % 4 + 1 AS cycle, CASE conv_id % 3 WHEN 0 THEN 'hmda' WHEN 1 THEN 'credit' ELSE 'lending' END AS dataset,
+  SELECT conv_id * 1000 + turn AS record_id, turn % 4 + 1 AS cycle, CASE conv_id % 3 WHEN 0 THEN 'mortgage' WHEN 1 THEN 'credit' ELSE 'lending' END AS dataset,
          CASE turn % 3 WHEN 0 THEN 'sex' WHEN 1 THEN 'race' ELSE 'age' END AS attribute,
          CASE (conv_id + turn) % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'High risk' WHEN 2 THEN 'MODERATE (borderline)' WHEN 3 THEN 'low' ELSE '' END AS severity,
          text, CAST((length(text) * 7 + turn) % 101 AS DOUBLE) AS total_score, CAST(length(text) % 41 AS DOUBLE) AS completeness, CAST(length(text) % 21 AS DOUBLE) AS agreement,
@@ -54,7 +54,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
     c, t, size = F.col("conv_id"), F.col("turn"), F.length("text")
     return rows.select(
-        (c * 1000 + t).alias("record_id"), (t % 4 + 1).alias("cycle"), pick(c % 3, "hmda", "credit", "lending").alias("dataset"), pick(t % 3, "sex", "race", "age").alias("attribute"),
+        (c * 1000 + t).alias("record_id"), (t % 4 + 1).alias("cycle"), pick(c % 3, "mortgage", "credit", "lending").alias("dataset"), pick(t % 3, "sex", "race", "age").alias("attribute"),
         pick((c + t) % 5, "critical", "High risk", "MODERATE (borderline)", "low", "").alias("severity"), "text", ((size * 7 + t) % 101).cast("double").alias("total_score"),
         (size % 41).cast("double").alias("completeness"), (size % 21).cast("double").alias("agreement"), (size % 7 == 0).alias("refused"), size.alias("output_tokens"), (c % 500 + 100).alias("input_tokens"), (size / 100.0).alias("seconds"),
     )
