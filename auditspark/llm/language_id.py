@@ -104,34 +104,43 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 class _Scores(dict):
-    """Row numbers of words in a growing table of scores by language."""
+    """Row numbers of words in a growing table of scores by language. New words are scored many at a time."""
 
     def __init__(self, model: dict):
         super().__init__()
-        self.model, self.n = model, len(model["langs"])
-        self.table = np.zeros((1024, self.n), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        score = np.zeros(self.n, np.float32)
-        known = self.model["scores"]
-        for g in groups(word):
-            if g in known:
-                score += known[g]
-        np.clip(score, -BOUND, BOUND, out=score)
-        fits = self.model["scripts"].get(script(word))
-        if fits is not None:
-            score[~fits] = -3 * BOUND
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = score
-        self[word] = at
-        return at
-
-    def forget(self, most: int = 400_000) -> None:
-        if len(self) > most:
+        self.n = len(model["langs"])
+        self.group_at = {g: k for k, g in enumerate(model["scores"], 1)}
+        self.group_scores = np.array([np.zeros(self.n, np.float32), *model["scores"].values()]).reshape(-1, self.n)
+        self.scripts = model["scripts"]
+        self.no_fit: dict[str, np.ndarray | None] = {}  # by a word's first letter: languages that it can't belong to
+        self.table = np.zeros((0, self.n), np.float32)
+
+    def _unfit(self, letter: str) -> np.ndarray | None:
+        if letter not in self.no_fit:
+            fits = self.scripts.get(script(letter))
+            self.no_fit[letter] = None if fits is None or fits.all() else ~fits
+        return self.no_fit[letter]
+
+    def learn(self, words: set[str], most: int = 400_000) -> None:
+        new = list(words - self.keys())
+        if len(self) + len(new) > most:
             self.clear()
-            self.table = np.zeros((1024, self.n), np.float32)
+            self.table = self.table[:0]
+            new = list(words)
+        if not new:
+            return
+        at, starts, get = [], [], self.group_at.get
+        for word in new:
+            starts.append(len(at))
+            at.append(0)  # the row of zeros, so that no word is without a group
+            at += [k for k in map(get, groups(word)) if k]
+        scores = np.clip(np.add.reduceat(self.group_scores[at], starts, axis=0), -BOUND, BOUND)
+        for k, word in enumerate(new):
+            unfit = self._unfit(word[0])
+            if unfit is not None:
+                scores[k, unfit] = -3 * BOUND
+        self.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+        self.table = np.concatenate([self.table, scores.astype(np.float32)])
 
 
 def viterbi(scores: np.ndarray, sizes: list[int], penalty: float = PENALTY) -> np.ndarray:
@@ -172,7 +181,7 @@ def viterbi(scores: np.ndarray, sizes: list[int], penalty: float = PENALTY) -> n
 def _labelled(texts: list[list[str]], cache: _Scores) -> tuple[np.ndarray, np.ndarray]:
     """(label, text number) of every word."""
     sizes = [len(ws) for ws in texts]
-    cache.forget()
+    cache.learn(set().union(*texts))
     at = np.array([cache[w] for ws in texts for w in ws], np.int64)
     return viterbi(cache.table[at], sizes), np.repeat(np.arange(len(texts)), sizes)
 
@@ -185,8 +194,8 @@ def predicted(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         for b in slices(batches, TOGETHER):
             texts = [words_of(t) if cache.n else [] for t in b.column(1).to_pylist()]
             labels, number = _labelled(texts, cache)
-            letters = np.zeros((len(texts), cache.n + 1))
-            np.add.at(letters, (number, labels), [len(w) for ws in texts for w in ws])
+            sizes = np.array([len(w) for ws in texts for w in ws], np.float64)
+            letters = np.bincount(number * (cache.n + 1) + labels, sizes, len(texts) * (cache.n + 1)).reshape(len(texts), -1)
             total, best = letters.sum(1), letters.argmax(1)
             best[total == 0] = cache.n
             score = np.where(total > 0, letters.max(1) / np.maximum(total, 1), 0.0)
