@@ -33,9 +33,10 @@ def drawn_counts(cells: DataFrame, sizes: Sequence[int], draws: int, seed: int =
         counts = np.array([x for _, k, n in table for x in (k, n - k)], np.int64)
         names = [c for c, _, _ in table]
         for b in batches:
-            for m, draw in zip(b["m"], b["draw"], strict=True):
-                got = np.random.default_rng([seed, int(m), int(draw)]).multivariate_hypergeometric(counts, min(int(m), int(counts.sum())), method="marginals").reshape(-1, 2)
-                yield pd.DataFrame({"m": m, "draw": draw, "cell": names, "k": got[:, 0], "n": got.sum(1)})
+            if len(b):
+                one = lambda m, draw: np.random.default_rng([seed, int(m), int(draw)]).multivariate_hypergeometric(counts, min(int(m), int(counts.sum())), method="marginals")
+                got = np.array([one(m, draw) for m, draw in zip(b["m"], b["draw"], strict=True)]).reshape(-1, 2)
+                yield pd.DataFrame({"m": np.repeat(b["m"], len(names)), "draw": np.repeat(b["draw"], len(names)), "cell": names * len(b), "k": got[:, 0], "n": got.sum(1)})
 
     grid = spark.range(draws).select(F.explode(F.array(*[F.lit(m) for m in sizes])).alias("m"), F.col("id").cast("int").alias("draw"))
     parts = max(1, min(len(sizes) * draws // 100, 2000))
