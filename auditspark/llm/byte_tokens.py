@@ -50,10 +50,10 @@ class ByteTokens:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _learn(self, words: set[str], known: dict[str, bytes], lead: str) -> None:
-        new = words - known.keys()
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            new = words
+            new = list(words)
         new = [w for w in new if w and not (w[0].isspace() or w[-1].isspace() or "\n" in w)]
         at, end = 0, int.from_bytes(self.line_end, "little")
         while at < len(new):

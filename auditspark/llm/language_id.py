@@ -122,7 +122,7 @@ class _Scores(dict):
         return self.no_fit[letter]
 
     def learn(self, words: set[str], most: int = 400_000) -> None:
-        new = list(words - self.keys())
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > most:
             self.clear()
             self.table = self.table[:0]
