@@ -5,12 +5,16 @@ Among them each language has a score, the log-likelihood of the word's letter gr
 mean of all. Viterbi then labels the words of a text, a change of language costing ``PENALTY``; runs of words with one
 label are spans. The document's language is the one with most letters, its score that language's share of the letters.
 
+A word in a script that no language was learned in, or without a known letter group, belongs to no language: its span is
+``und`` and its letters count in the share for none. A document is ``und`` with score 0 if such letters are the most, or
+if the words of its main language are too unlike it: their mean log-likelihood a letter group must reach half way from
+the language's own mean to that of the learned language nearest to it, less ``DOUBT`` standard errors for few letters.
+
 Viterbi runs over many texts at once: step t handles the t-th word of every text that has one.
 
 Fitting takes at most ``SAMPLE`` rows with a known language (those with the smallest id hashes) and keeps at most
-``GROUPS`` letter groups. Cases: a null text, or one without letters, is ``und`` with score 0; a word in a script that no
-language was learned in fits all equally badly; without any row to learn from every text is ``und``; repeated rows get
-equal results; other columns are ignored.
+``GROUPS`` letter groups. Cases: a null text, or one without letters, is ``und`` with score 0; without any row to learn from
+every text is ``und``; repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from auditspark.llm.toxicity import learnable
 
 #: Most rows of a fit, most letter groups, cost of a change of language, bound of a word's score.
 SAMPLE, GROUPS, PENALTY, BOUND = 20_000, 200_000, 8.0, 6.0
+#: Standard errors that the mean likelihood of a document may lie too low.
+DOUBT = 3.0
 #: Texts that Viterbi handles at once.
 TOGETHER = 2048
 #: First and last code point of scripts (blocks of the Unicode standard).
@@ -54,8 +60,26 @@ def groups(word: str) -> list[str]:
     return [w[k : k + n] for n in (1, 2, 3) for k in range(len(w) - n + 1)][1:]
 
 
+def group_numbers(lengths: np.ndarray) -> np.ndarray:
+    """How many groups words of these lengths have."""
+    return 3 * lengths + 2
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower()) if w.isalpha()]
+    return [t for w in _WORD.findall(text.lower()) for t in ([w] if w.isalpha() else _letters(w).split())]
+
+
+def _letters(word: str) -> str:
+    """The word with spaces for what is no letter (superscripts, fractions)."""
+    return "".join(c if c.isalpha() else " " for c in word)
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    """Start and end of every word in the text."""
+    out = []
+    for m in _WORD.finditer(text):
+        out += [m.span()] if m[0].isalpha() else [(m.start() + part.start(), m.start() + part.end()) for part in re.finditer(r"\S+", _letters(m[0]))]
+    return out
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> dict:
@@ -100,7 +124,21 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     for g, line in counts.items():
         score = np.log((line + 0.5) / (used + 0.5 * len(counts)))
         scores[g] = (score - score.mean()).astype(np.float32)
-    return {"langs": langs, "scripts": scripts, "scores": scores}
+    return {"langs": langs, "scripts": scripts, "scores": scores, **_likelihoods(np.array(list(counts.values())).reshape(len(counts), len(langs)), used)}
+
+
+def _likelihoods(counts: np.ndarray, used: np.ndarray) -> dict:
+    """Of the letter groups' counts (groups x languages): their mean log-likelihoods, that of an unknown group, and the
+    least mean of a text and the deviation of one group by language."""
+    if not counts.size:
+        return {"means": np.zeros(len(counts)), "unknown": np.zeros(len(used)), "least": np.zeros(len(used)), "deviation": np.zeros(len(used))}
+    p = (counts + 0.5) / (used + 0.5 * len(counts))
+    log = np.log(p)
+    cross = p.T @ log  # row: language of the text, column: language that it is taken for
+    own = np.diag(cross).copy()
+    np.fill_diagonal(cross, -np.inf)
+    other = cross.max(0) if len(used) > 1 else log.mean(0)
+    return {"means": log.mean(1), "unknown": np.log(0.5 / (used + 0.5 * len(counts))), "least": (own + other) / 2, "deviation": np.sqrt(np.maximum((p * log**2).sum(0) - own**2, 0))}
 
 
 class _Scores(dict):
@@ -110,22 +148,26 @@ class _Scores(dict):
         super().__init__()
         self.n = len(model["langs"])
         self.group_at = {g: k for k, g in enumerate(model["scores"], 1)}
-        self.group_scores = np.array([np.zeros(self.n, np.float32), *model["scores"].values()]).reshape(-1, self.n)
+        self.group_scores = np.array([np.zeros(self.n, np.float32), *model["scores"].values()])
+        self.group_scores = np.column_stack([self.group_scores, np.concatenate([[0], model["means"]]).astype(np.float32)])
+        self.unknown = model["unknown"]
         self.scripts = model["scripts"]
         self.no_fit: dict[str, np.ndarray | None] = {}  # by a word's first letter: languages that it can't belong to
         self.table = np.zeros((0, self.n), np.float32)
+        self.likelihood = np.zeros((0, self.n), np.float32)  # of the whole word, by language
+        self.nowhere = np.zeros(0, bool)  # words that belong to no language
 
     def _unfit(self, letter: str) -> np.ndarray | None:
         if letter not in self.no_fit:
             fits = self.scripts.get(script(letter))
-            self.no_fit[letter] = None if fits is None or fits.all() else ~fits
+            self.no_fit[letter] = np.ones(self.n, bool) if fits is None else None if fits.all() else ~fits
         return self.no_fit[letter]
 
     def learn(self, words: set[str], most: int = 400_000) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > most:
             self.clear()
-            self.table = self.table[:0]
+            self.table, self.likelihood, self.nowhere = self.table[:0], self.likelihood[:0], self.nowhere[:0]
             new = list(words)
         if not new:
             return
@@ -134,13 +176,22 @@ class _Scores(dict):
             starts.append(len(at))
             at.append(0)  # the row of zeros, so that no word is without a group
             at += [k for k in map(get, groups(word)) if k]
-        scores = np.clip(np.add.reduceat(self.group_scores[at], starts, axis=0), -BOUND, BOUND)
+        sums = np.add.reduceat(self.group_scores[at], starts, axis=0)
+        known = np.diff([*starts, len(at)]) - 1
+        sizes = group_numbers(np.array([len(w) for w in new]))
+        likelihood = sums[:, :-1] + sums[:, -1:] + (sizes - known)[:, None] * self.unknown
+        nowhere = known <= ("$" in self.group_at)  # the border alone
+        scores = np.clip(sums[:, :-1], -BOUND, BOUND)
         for k, word in enumerate(new):
             unfit = self._unfit(word[0])
             if unfit is not None:
+                nowhere[k] |= unfit.all()
                 scores[k, unfit] = -3 * BOUND
+        scores[nowhere] = 0
         self.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
         self.table = np.concatenate([self.table, scores.astype(np.float32)])
+        self.likelihood = np.concatenate([self.likelihood, likelihood.astype(np.float32)])
+        self.nowhere = np.concatenate([self.nowhere, nowhere])
 
 
 def viterbi(scores: np.ndarray, sizes: list[int], penalty: float = PENALTY) -> np.ndarray:
@@ -178,12 +229,14 @@ def viterbi(scores: np.ndarray, sizes: list[int], penalty: float = PENALTY) -> n
     return labels
 
 
-def _labelled(texts: list[list[str]], cache: _Scores) -> tuple[np.ndarray, np.ndarray]:
-    """(label, text number) of every word."""
+def _labelled(texts: list[list[str]], cache: _Scores) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, text number, row in the cache) of every word; words of no language have the label after the last one."""
     sizes = [len(ws) for ws in texts]
     cache.learn(set().union(*texts))
     at = np.array([cache[w] for ws in texts for w in ws], np.int64)
-    return viterbi(cache.table[at], sizes), np.repeat(np.arange(len(texts)), sizes)
+    labels = viterbi(cache.table[at], sizes)
+    labels[cache.nowhere[at]] = cache.n
+    return labels, np.repeat(np.arange(len(texts)), sizes), at
 
 
 def predicted(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,14 +244,20 @@ def predicted(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, langs = _Scores(model), np.array([*model["langs"], "und"], object)
+        least, deviation = np.append(model["least"], -np.inf), np.append(model["deviation"], 0.0)
         for b in slices(batches, TOGETHER):
             texts = [words_of(t) if cache.n else [] for t in b.column(1).to_pylist()]
-            labels, number = _labelled(texts, cache)
+            labels, number, at = _labelled(texts, cache)
             sizes = np.array([len(w) for ws in texts for w in ws], np.float64)
             letters = np.bincount(number * (cache.n + 1) + labels, sizes, len(texts) * (cache.n + 1)).reshape(len(texts), -1)
             total, best = letters.sum(1), letters.argmax(1)
             best[total == 0] = cache.n
-            score = np.where(total > 0, letters.max(1) / np.maximum(total, 1), 0.0)
+            main = np.flatnonzero((labels == best[number]) & (labels < cache.n))
+            likelihood = np.bincount(number[main], cache.likelihood[at[main], labels[main]], len(texts))
+            mean = likelihood / np.maximum(np.bincount(number[main], group_numbers(sizes[main]), len(texts)), 1)
+            unlike = mean + DOUBT * deviation[best] / np.sqrt(np.maximum(letters.max(1), 1)) < least[best]
+            best[unlike] = cache.n
+            score = np.where(best < cache.n, letters.max(1) / np.maximum(total, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[best], pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
     rows = id_text(df, id_col, text_col)
@@ -209,20 +268,21 @@ def spans(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
     """(id, spans array of (start, end, lang)) of every row, in characters of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, langs = _Scores(model), model["langs"]
+        cache, langs = _Scores(model), [*model["langs"], "und"]
         for b in slices(batches):
-            found = [[m for m in _WORD.finditer(t) if m[0].isalpha()] if cache.n else [] for t in b.column(1).to_pylist()]
-            labels, _ = _labelled([[m[0].lower() for m in ms] for ms in found], cache)
+            texts = b.column(1).to_pylist()
+            found = [_places(t) if cache.n else [] for t in texts]
+            labels, _, _ = _labelled([[t[start:end].lower() for start, end in places] for t, places in zip(texts, found, strict=True)], cache)
             out, at = [], 0
-            for ms in found:
+            for places in found:
                 row: list[dict] = []
-                for m, label in zip(ms, labels[at : at + len(ms)], strict=True):
+                for (start, end), label in zip(places, labels[at : at + len(places)], strict=True):
                     if row and row[-1]["lang"] == langs[label]:
-                        row[-1]["end"] = m.end()
+                        row[-1]["end"] = end
                     else:
-                        row.append({"start": m.start(), "end": m.end(), "lang": langs[label]})
+                        row.append({"start": start, "end": end, "lang": langs[label]})
                 out.append(row)
-                at += len(ms)
+                at += len(places)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))], names=["id", "spans"])
 
     rows = id_text(df, id_col, text_col)
