@@ -4,7 +4,7 @@ Each url becomes a set of tokens (suffixes of its host, path steps, file ending,
 mines token combinations that go with the label ``block``; rules below the confidence or support limit go, and so do
 rules whose tokens contain those of a rule that is no less sure. The kept rules (at most ``MOST_RULES``) form an
 inverted index, keyed by their rarest token, that every url looks up for each of its tokens: no join, no shuffle.
-A list of given rules goes before the mined ones.
+A list of given rules goes before the mined ones; the urls that one fits are labelled by its verdict, others not.
 
 Cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; repeated rows are
 judged alike; an empty table gives none; without any blocked url no rule is mined and all others are allowed.
@@ -108,7 +108,7 @@ def judged(df: DataFrame, id_col: str = "page_id", url_col: str = "url", given=G
     rows = df.select(df[id_col].alias("id"), df[url_col].cast("string").alias("url"))
     rows = rows.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.select("id", "host", "path", tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), given_rule(F.col("host"), F.col("path"), given).alias("given"))
-    rules = mine(rows.select("tokens", F.coalesce(F.col("given.verdict") == "block", F.lit(False)).alias("blocked")), support, confidence)
+    rules = mine(rows.where("given IS NOT NULL").select("tokens", (F.col("given.verdict") == "block").alias("blocked")), support, confidence)
     fired = _fired(_index([(t, s) for t, s, _ in rules]), F.col("tokens")) if rules else F.array().cast("array<struct<sure:double,at:int,tokens:array<string>>>")
     rows = rows.withColumn("mined", F.when(F.col("given").isNull() & (F.size("tokens") > 0), F.array_max(fired)))
     verdict = F.coalesce("given.verdict", F.when(F.col("mined").isNotNull(), F.lit("block")), F.lit("allow"))
