@@ -1,10 +1,11 @@
 """Operator 9: URL filtering with mined association rules, by DataFrame functions only.
 
-Each url becomes a set of tokens (suffixes of its host, path steps, file ending, query names; digits as ``#``). FP-growth
-mines token combinations that go with the label ``block``; rules below the confidence or support limit go, and so do
-rules whose tokens contain those of a rule that is no less sure. The kept rules (at most ``MOST_RULES``) form an
-inverted index, keyed by their rarest token, that every url looks up for each of its tokens: no join, no shuffle.
-A list of given rules goes before the mined ones; the urls that one fits are labelled by its verdict, others not.
+Each url becomes a set of tokens (suffixes of its host, path steps, file ending, query names; digits as ``#``). A list of
+given rules judges first; the urls that one fits are labelled by its verdict, the others carry no label. From the labelled
+urls FP-growth mines token combinations that go with ``block``; rules below the confidence or support limit go, and so do
+rules whose tokens contain those of a rule that is no less sure. No combination is left out for its size or rank. The
+kept rules judge the urls without a label by an inverted index keyed by the rules' rarest tokens: up to ``MOST_LITERAL``
+rules as a map literal that every url looks up without a join, more of them by a join of distinct token sets.
 
 Cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; repeated rows are
 judged alike; an empty table gives none; without any blocked url no rule is mined and all others are allowed.
@@ -18,8 +19,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Limits of mined rules: share of all labelled urls, share of a rule's urls that are blocked, tokens, rules.
-SUPPORT, CONFIDENCE, MOST_TOKENS, MOST_RULES = 0.01, 0.9, 3, 1000
+from auditspark.llm.shared import written
+
+#: Limits of mined rules: share of all labelled urls, share of a rule's labelled urls that are blocked.
+SUPPORT, CONFIDENCE = 0.01, 0.9
+#: Most given rules, and most mined rules of a map literal.
+MOST_RULES, MOST_LITERAL = 1000, 1000
 #: Given rules: (host, path, verdict).
 GIVEN = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -59,42 +64,61 @@ def given_rule(host: Column, path: Column, rules=GIVEN) -> Column:
     return F.array_max(F.array(*fits))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float, float]]:
-    """Rules (tokens, confidence, support) for ``blocked`` from rows (tokens, blocked), the surest first.
+def _anchored(sets: DataFrame, uses: DataFrame) -> DataFrame:
+    """(items, ..., anchor): the sets with their rarest token by (token, uses)."""
+    tokens = sets.select("items", F.explode("items").alias("token")).join(uses, "token")
+    return sets.join(tokens.groupBy("items").agg(F.min_by("token", F.struct("uses", "token")).alias("anchor")), "items")
+
+
+def _within(inner: str, outer: str) -> Column:
+    return F.size(F.array_except(inner, outer)) == 0
 
-    Only the blocked rows are mined for combinations, so the tree grows with them alone; how often a combination occurs
-    among all rows is counted exactly afterwards, by the inverted index.
+
+def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """Rules (items, sure, often, anchor) for ``blocked`` from rows (tokens, blocked), written to the shared folder.
+
+    Only the blocked rows are mined for combinations, so the tree grows with them alone; how often each combination occurs
+    among all labelled rows is counted exactly afterwards, by a join of distinct token sets on its rarest token.
     """
+    spark = labelled.sparkSession
+    none = spark.createDataFrame([], "items array<string>, sure double, often double, anchor string")
     total = labelled.agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).first()
     if not total["blocked"]:
-        return []
+        return none
     share = min(1.0, support * total["n"] / total["blocked"])
     model = FPGrowth(itemsCol="tokens", minSupport=share).fit(labelled.where("blocked AND size(tokens) > 0").select("tokens"))
-    found = model.freqItemsets.where(F.size("items") <= MOST_TOKENS).select(F.array_sort("items").alias("items"), "freq").orderBy(F.desc("freq"), F.size("items"), "items").limit(MOST_RULES).collect()
-    if not found:
-        return []
-    index = _index([(list(r["items"]), 0.0) for r in found])
-    counts = {r["at"]: r["n"] for r in labelled.select(F.explode(F.transform(_fired(index, F.col("tokens")), lambda r: r["at"])).alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()}
-    rules = [(list(r["items"]), r["freq"] / counts[k], r["freq"] / total["n"]) for k, r in enumerate(found) if counts.get(k)]
-    kept: list[tuple[list[str], float, float]] = []
-    for tokens, sure, often in sorted((r for r in rules if r[1] >= confidence and r[2] >= support), key=lambda r: (len(r[0]), -r[1], r[0])):
-        if not any(set(k[0]) <= set(tokens) and k[1] >= sure for k in kept):
-            kept.append((tokens, sure, often))
-    return sorted(kept, key=lambda r: (-r[1], -r[2], r[0]))
-
-
-def _index(rules: list[tuple[list[str], float]]) -> Column:
-    """Inverted index as a map literal: a rule's rarest token (that of fewest rules) -> its rules."""
-    uses: dict[str, int] = {}
-    for tokens, _ in rules:
-        for t in tokens:
-            uses[t] = uses.get(t, 0) + 1
+    # FP-growth's share is of the rows with tokens only, and rounded up: sets below the support go here
+    found = written(model.freqItemsets.where(F.col("freq") >= support * total["n"]).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    kinds = written(labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("n")), "token-sets")
+    exploded = kinds.select(F.explode("tokens").alias("anchor"), "tokens", "n")
+    uses = exploded.groupBy(F.col("anchor").alias("token")).agg(F.sum("n").alias("uses"))
+    anchored = written(_anchored(found, uses), "anchored")
+    counts = anchored.select("items", "anchor").join(exploded, "anchor").where(_within("items", "tokens")).groupBy("items").agg(F.sum("n").alias("n"))
+    sure = anchored.join(counts, "items").select("items", (F.col("freq") / F.col("n")).alias("sure"), (F.col("freq") / total["n"]).alias("often"), "anchor")
+    sure = written(sure.where(F.col("sure") >= confidence), "sure-rules")
+    # a rule that contains a smaller one no less sure adds nothing
+    small = sure.select(F.col("items").alias("part"), F.col("sure").alias("part_sure"), "anchor")
+    large = sure.select("items", "sure", F.explode("items").alias("anchor"))
+    needless = large.join(small, "anchor").where((F.size("part") < F.size("items")) & (F.col("part_sure") >= F.col("sure")) & _within("part", "items"))
+    return written(sure.join(needless.select("items").distinct(), "items", "left_anti"), "rules")
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float, float]]:
+    """The rules as a list of (tokens, confidence, support), the surest first."""
+    return [(r["items"], r["sure"], r["often"]) for r in mined_rules(labelled, support, confidence).orderBy(F.desc("sure"), F.desc("often"), "items").collect()]
+
+
+def _rule(sure: Column, often: Column, items: Column) -> Column:
+    """A rule as a struct; the greatest is the surest."""
+    return F.struct(sure.alias("sure"), often.alias("often"), items.alias("tokens"))
+
+
+def _index(rules: list) -> Column:
+    """Inverted index as a map literal: a rule's rarest token -> its rules."""
     by: dict[str, list[Column]] = {}
-    for k, (tokens, sure) in enumerate(rules):
-        anchor = min(tokens, key=lambda t: (uses[t], t))
-        by.setdefault(anchor, []).append(F.struct(F.lit(sure).alias("sure"), F.lit(k).alias("at"), F.array(*map(F.lit, tokens)).alias("tokens")))
-    pairs = [x for t, r in sorted(by.items()) for x in (F.lit(t), F.array(*r))]
-    return F.create_map(*pairs)
+    for r in rules:
+        by.setdefault(r["anchor"], []).append(_rule(F.lit(r["sure"]), F.lit(r["often"]), F.array(*map(F.lit, r["items"]))))
+    return F.create_map(*[x for t, found in sorted(by.items()) for x in (F.lit(t), F.array(*found))])
 
 
 def _fired(index: Column, tokens: Column) -> Column:
@@ -103,14 +127,25 @@ def _fired(index: Column, tokens: Column) -> Column:
     return F.filter(found, lambda r: F.size(F.array_except(r["tokens"], tokens)) == 0)
 
 
-def judged(df: DataFrame, id_col: str = "page_id", url_col: str = "url", given=GIVEN, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def with_mined(rows: DataFrame, rules: DataFrame, literal: int = MOST_LITERAL) -> DataFrame:
+    """Rows (tokens, given, ...) with ``mined``, the surest rule that fits a row without a given one, or null."""
+    free = F.col("given").isNull() & (F.size("tokens") > 0)
+    if rules.count() <= literal:
+        listed = rules.orderBy("items").collect()
+        best = F.array_max(_fired(_index(listed), F.col("tokens"))) if listed else F.lit(None).cast("struct<sure:double,often:double,tokens:array<string>>")
+        return rows.withColumn("mined", F.when(free, best))
+    kinds = rows.where(free).select("tokens").distinct().select("tokens", F.explode("tokens").alias("anchor"))
+    best = kinds.join(rules, "anchor").where(_within("items", "tokens")).groupBy("tokens").agg(F.max(_rule(F.col("sure"), F.col("often"), F.col("items"))).alias("best"))
+    return rows.join(best, "tokens", "left").withColumn("mined", F.when(free, F.col("best"))).drop("best")
+
+
+def judged(df: DataFrame, id_col: str = "page_id", url_col: str = "url", given=GIVEN, support: float = SUPPORT, confidence: float = CONFIDENCE, literal: int = MOST_LITERAL) -> DataFrame:
     """(id, host, path, rule, verdict, mined) of every row; ``mined`` holds the tokens of the mined rule that decided."""
     rows = df.select(df[id_col].alias("id"), df[url_col].cast("string").alias("url"))
     rows = rows.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.select("id", "host", "path", tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), given_rule(F.col("host"), F.col("path"), given).alias("given"))
-    rules = mine(rows.where("given IS NOT NULL").select("tokens", (F.col("given.verdict") == "block").alias("blocked")), support, confidence)
-    fired = _fired(_index([(t, s) for t, s, _ in rules]), F.col("tokens")) if rules else F.array().cast("array<struct<sure:double,at:int,tokens:array<string>>>")
-    rows = rows.withColumn("mined", F.when(F.col("given").isNull() & (F.size("tokens") > 0), F.array_max(fired)))
+    rules = mined_rules(rows.where("given IS NOT NULL").select("tokens", (F.col("given.verdict") == "block").alias("blocked")), support, confidence)
+    rows = with_mined(rows, rules, literal)
     verdict = F.coalesce("given.verdict", F.when(F.col("mined").isNotNull(), F.lit("block")), F.lit("allow"))
     return rows.select(F.col("id").alias(id_col), "host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict"), F.col("mined.tokens").alias("mined"))
 
