@@ -10,11 +10,12 @@ A word in a script that no language was learned in, or without a known letter gr
 if the words of its main language are too unlike it: their mean log-likelihood a letter group must reach half way from
 the language's own mean to that of the learned language nearest to it, less ``DOUBT`` standard errors for few letters.
 
-Viterbi runs over many texts at once: step t handles the t-th word of every text that has one.
+Viterbi runs over many texts of similar length at once: step t handles the t-th word of every text that has one.
 
 Fitting takes at most ``SAMPLE`` rows with a known language (those with the smallest id hashes) and keeps at most
 ``GROUPS`` letter groups. Cases: a null text, or one without letters, is ``und`` with score 0; without any row to learn from
-every text is ``und``; repeated rows get equal results; other columns are ignored.
+every text is ``und``; repeated rows get equal results; a text of any length is labelled whole, by itself if it is long;
+other columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.shared import id_text, sampled_ids, slices
+from auditspark.llm.shared import by_length, id_text, sampled_ids, slices
 from auditspark.llm.toxicity import learnable
 
 #: Most rows of a fit, most letter groups, cost of a change of language, bound of a word's score.
 SAMPLE, GROUPS, PENALTY, BOUND = 20_000, 200_000, 8.0, 6.0
 #: Standard errors that the mean likelihood of a document may lie too low.
 DOUBT = 3.0
-#: Texts that Viterbi handles at once.
-TOGETHER = 2048
+#: Texts, and bytes of text, that Viterbi handles at once. Words whose scores a worker keeps.
+TOGETHER, BYTES = 2048, 1 << 19
+CACHED_WORDS = 150_000
 #: First and last code point of scripts (blocks of the Unicode standard).
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
@@ -120,11 +122,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             used += line
     letters = sum(seen.values()) if seen else used
     scripts = {s: line >= 0.01 * letters for s, line in seen.items()}
-    scores = {}
-    for g, line in counts.items():
-        score = np.log((line + 0.5) / (used + 0.5 * len(counts)))
-        scores[g] = (score - score.mean()).astype(np.float32)
-    return {"langs": langs, "scripts": scripts, "scores": scores, **_likelihoods(np.array(list(counts.values())).reshape(len(counts), len(langs)), used)}
+    table = np.array(list(counts.values())).reshape(len(counts), len(langs))
+    log = np.log((table + 0.5) / (used + 0.5 * len(counts)))
+    scores = (log - log.mean(1, keepdims=True)).astype(np.float32) if counts else log.astype(np.float32)
+    return {"langs": langs, "scripts": scripts, "groups": "\n".join(counts), "scores": scores, **_likelihoods(table, used)}
 
 
 def _likelihoods(counts: np.ndarray, used: np.ndarray) -> dict:
@@ -147,9 +148,9 @@ class _Scores(dict):
     def __init__(self, model: dict):
         super().__init__()
         self.n = len(model["langs"])
-        self.group_at = {g: k for k, g in enumerate(model["scores"], 1)}
-        self.group_scores = np.array([np.zeros(self.n, np.float32), *model["scores"].values()])
-        self.group_scores = np.column_stack([self.group_scores, np.concatenate([[0], model["means"]]).astype(np.float32)])
+        self.group_at = {g: k for k, g in enumerate(model["groups"].split("\n"), 1)} if model["groups"] else {}
+        # row 0: no group; last column: the mean over all languages
+        self.group_scores = np.pad(np.column_stack([model["scores"], model["means"]]).astype(np.float32), ((1, 0), (0, 0)))
         self.unknown = model["unknown"]
         self.scripts = model["scripts"]
         self.no_fit: dict[str, np.ndarray | None] = {}  # by a word's first letter: languages that it can't belong to
@@ -163,7 +164,7 @@ class _Scores(dict):
             self.no_fit[letter] = np.ones(self.n, bool) if fits is None else None if fits.all() else ~fits
         return self.no_fit[letter]
 
-    def learn(self, words: set[str], most: int = 400_000) -> None:
+    def learn(self, words: set[str], most: int = CACHED_WORDS) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > most:
             self.clear()
@@ -245,7 +246,7 @@ def predicted(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, langs = _Scores(model), np.array([*model["langs"], "und"], object)
         least, deviation = np.append(model["least"], -np.inf), np.append(model["deviation"], 0.0)
-        for b in slices(batches, TOGETHER):
+        for b in by_length(batches, BYTES, TOGETHER):
             texts = [words_of(t) if cache.n else [] for t in b.column(1).to_pylist()]
             labels, number, at = _labelled(texts, cache)
             sizes = np.array([len(w) for ws in texts for w in ws], np.float64)
@@ -269,7 +270,7 @@ def spans(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, langs = _Scores(model), [*model["langs"], "und"]
-        for b in slices(batches):
+        for b in by_length(batches, BYTES, TOGETHER):
             texts = b.column(1).to_pylist()
             found = [_places(t) if cache.n else [] for t in texts]
             labels, _, _ = _labelled([[t[start:end].lower() for start, end in places] for t, places in zip(texts, found, strict=True)], cache)

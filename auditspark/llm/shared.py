@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Ite
             yield batch.slice(at, rows)
 
 
+def by_length(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) in batches of at most ``rows`` texts of similar length, together of about ``size`` bytes at most.
+
+    Rows come out in another order inside each incoming batch. A text longer than ``size`` is a batch of its own.
+    """
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        order = np.argsort(lengths, kind="stable")
+        ends = np.cumsum(lengths[order])
+        at = 0
+        while at < len(order):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, "right"))))
+            yield batch.take(pa.array(order[at:to]))
+            at = to
+
+
 def sampled_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
     """At most ``most`` ids, those with the smallest hashes: a bounded sample that doesn't depend on partitioning."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))

@@ -66,7 +66,7 @@ class _Known(dict):
         self.at = {v: k for k, v in enumerate(voters)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = tuple(self.at[f] for f in features(word) if f in self.at)
         return value
