@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 
 #: Words whose ids a Python worker keeps; then it starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 #: Characters that one call of the library gets.
 CALL = 200_000
 

@@ -38,7 +38,9 @@ SAMPLE, GROUPS, PENALTY, BOUND = 20_000, 200_000, 8.0, 6.0
 DOUBT = 3.0
 #: Texts, and bytes of text, that Viterbi handles at once. Words whose scores a worker keeps.
 TOGETHER, BYTES = 2048, 1 << 19
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
+#: Words scored in one call, and entries of a direct table of letter groups.
+CALL, DIRECT = 20_000, 1 << 22
 #: First and last code point of scripts (blocks of the Unicode standard).
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
@@ -68,7 +70,8 @@ def group_numbers(lengths: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    return [t for w in _WORD.findall(text.lower()) for t in ([w] if w.isalpha() else _letters(w).split())]
+    words = _WORD.findall(text.lower())
+    return words if "".join(words).isalpha() else [t for w in words for t in ([w] if w.isalpha() else _letters(w).split())]
 
 
 def _letters(word: str) -> str:
@@ -142,18 +145,69 @@ def _likelihoods(counts: np.ndarray, used: np.ndarray) -> dict:
     return {"means": log.mean(1), "unknown": np.log(0.5 / (used + 0.5 * len(counts))), "least": (own + other) / 2, "deviation": np.sqrt(np.maximum((p * log**2).sum(0) - own**2, 0))}
 
 
+class _Groups:
+    """Rows of letter groups: a group's characters are digits of a number to the base of the alphabet's size."""
+
+    def __init__(self, groups: list[str]):
+        alphabet = sorted(set("".join(groups)))
+        self.letters = np.array([ord(c) for c in alphabet], np.uint32)
+        self.base = len(alphabet) + 2  # 0: nothing, the last: any other character
+        codes = [0] * len(groups)
+        digit = {c: k for k, c in enumerate(alphabet, 1)}
+        for k, g in enumerate(groups):
+            for c in g:
+                codes[k] = codes[k] * self.base + digit[c]
+        order = np.argsort(np.array(codes, np.int64), kind="stable")
+        self.codes, self.rows = np.array(codes, np.int64)[order], (order + 1).astype(np.int32)
+        self.direct = None
+        if self.base**3 <= DIRECT:
+            self.direct = np.zeros(self.base**3, np.int32)
+            self.direct[self.codes] = self.rows
+
+    def _row(self, codes: np.ndarray) -> np.ndarray:
+        """1 + the number of each group, 0 for unknown ones."""
+        if self.direct is not None:
+            return self.direct[codes]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.rows[at], 0)
+
+    def found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the groups that end at each character, one, two and three long; start of each word)."""
+        points = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.array([len(w) for w in words], np.int64) + 2
+        starts = np.cumsum(sizes) - sizes
+        if not len(self.codes):
+            return np.zeros((3, len(points)), np.int32), starts
+        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
+        digit = np.where(self.letters[at] == points, at + 1, self.base - 1).astype(np.int64)
+        rows = np.zeros((3, len(points)), np.int32)
+        code = digit
+        for n in range(3):
+            if n:
+                code = digit[n:] + self.base * code[:-1]
+            rows[n, n:] = self._row(code)
+        rows[:, starts] = 0  # no group ends at the front border
+        rows[2, starts + 1] = 0
+        return rows, starts
+
+
 class _Scores(dict):
     """Row numbers of words in a growing table of scores by language. New words are scored many at a time."""
 
     def __init__(self, model: dict):
         super().__init__()
         self.n = len(model["langs"])
-        self.group_at = {g: k for k, g in enumerate(model["groups"].split("\n"), 1)} if model["groups"] else {}
+        names = model["groups"].split("\n") if model["groups"] else []
+        self.groups, self.border = _Groups(names), "$" in names
         # row 0: no group; last column: the mean over all languages
         self.group_scores = np.pad(np.column_stack([model["scores"], model["means"]]).astype(np.float32), ((1, 0), (0, 0)))
         self.unknown = model["unknown"]
         self.scripts = model["scripts"]
         self.no_fit: dict[str, np.ndarray | None] = {}  # by a word's first letter: languages that it can't belong to
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
         self.table = np.zeros((0, self.n), np.float32)
         self.likelihood = np.zeros((0, self.n), np.float32)  # of the whole word, by language
         self.nowhere = np.zeros(0, bool)  # words that belong to no language
@@ -167,32 +221,33 @@ class _Scores(dict):
     def learn(self, words: set[str], most: int = CACHED_WORDS) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > most:
-            self.clear()
-            self.table, self.likelihood, self.nowhere = self.table[:0], self.likelihood[:0], self.nowhere[:0]
+            self._forget()
             new = list(words)
         if not new:
             return
-        at, starts, get = [], [], self.group_at.get
-        for word in new:
-            starts.append(len(at))
-            at.append(0)  # the row of zeros, so that no word is without a group
-            at += [k for k in map(get, groups(word)) if k]
-        sums = np.add.reduceat(self.group_scores[at], starts, axis=0)
-        known = np.diff([*starts, len(at)]) - 1
-        sizes = group_numbers(np.array([len(w) for w in new]))
+        found = [self._scored(new[at : at + CALL]) for at in range(0, len(new), CALL)]
+        self.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+        self.table, self.likelihood, self.nowhere = (np.concatenate([old, *parts]) for old, parts in zip((self.table, self.likelihood, self.nowhere), zip(*found, strict=True), strict=True))
+
+    def _scored(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bounded scores, log-likelihoods, whether it belongs to no language) of each word."""
+        rows, starts = self.groups.found(words)
+        sums = np.add.reduceat(self.group_scores[rows[0]] + self.group_scores[rows[1]] + self.group_scores[rows[2]], starts, axis=0)
+        known = np.add.reduceat((rows > 0).sum(0), starts)
+        sizes = group_numbers(np.array([len(w) for w in words]))
         likelihood = sums[:, :-1] + sums[:, -1:] + (sizes - known)[:, None] * self.unknown
-        nowhere = known <= ("$" in self.group_at)  # the border alone
+        nowhere = known <= self.border  # the border alone
         scores = np.clip(sums[:, :-1], -BOUND, BOUND)
-        for k, word in enumerate(new):
-            unfit = self._unfit(word[0])
+        first: dict[str, list[int]] = {}
+        for k, word in enumerate(words):
+            first.setdefault(word[0], []).append(k)
+        for letter, at in first.items():
+            unfit = self._unfit(letter)
             if unfit is not None:
-                nowhere[k] |= unfit.all()
-                scores[k, unfit] = -3 * BOUND
+                nowhere[at] |= unfit.all()
+                scores[np.ix_(at, np.flatnonzero(unfit))] = -3 * BOUND
         scores[nowhere] = 0
-        self.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-        self.table = np.concatenate([self.table, scores.astype(np.float32)])
-        self.likelihood = np.concatenate([self.likelihood, likelihood.astype(np.float32)])
-        self.nowhere = np.concatenate([self.nowhere, nowhere])
+        return scores.astype(np.float32), likelihood.astype(np.float32), nowhere
 
 
 def viterbi(scores: np.ndarray, sizes: list[int], penalty: float = PENALTY) -> np.ndarray:

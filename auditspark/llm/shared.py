@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a task turns into one output batch.
-ROWS_PER_BATCH = 512
+#: Rows that a task turns into one output batch, and rows that Spark hands to Python at once.
+ROWS_PER_BATCH, ARROW_ROWS = 512, 2000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -37,8 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ARROW_ROWS`` rows from now on, unless the session asks for fewer: rows are whole documents."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on as (id, text); a null text counts as empty. Other columns never matter."""
+    small_batches(df.sparkSession)
     return df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.llm.byte_tokens import ByteTokens, byte_tokens
-from auditspark.llm.shared import slices, tokenizer_path
+from auditspark.llm.shared import slices, small_batches, tokenizer_path
 
 #: Words a leaf.
 LEAF_WORDS = 32
@@ -134,6 +134,7 @@ def recounted(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             cols = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n_tokens", "n_edits", "n_tokens_after", "encoded_chars"])
 
+    small_batches(df.sparkSession)
     edits = df[edits_col] if edits_col else F.lit(None).cast("array<struct<start:int,end:int,new:string>>")
     rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), edits.alias("edits"))
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_edits long, n_tokens_after long, encoded_chars long")
