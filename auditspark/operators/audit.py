@@ -129,14 +129,17 @@ def cell_table(df: DataFrame, attrs: Sequence[str], favorable: int = 1, floor: i
 
 
 def cell_summary(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Cells, suppressed ones, worst visible and worst actual cell, suppressed cells worse than any visible one."""
-    worst = lambda cond: F.min_by("cell", F.when(cond, F.struct("di_vs_sized", "cell")))
-    visible = ~F.col("below_floor") & F.col("di_vs_sized").isNotNull()
+    """Cells, suppressed ones, worst visible and worst actual cell, suppressed cells worse than any visible one.
+
+    Cells without a DI come last: if no cell reaches the floor, the first label is the worst actual one, with a null DI.
+    """
+    worst = lambda cond: F.min_by("cell", F.when(cond, F.struct(F.col("di_vs_sized").isNull(), "di_vs_sized", "cell")))
+    visible = ~F.col("below_floor")
     w = Window.partitionBy(*(by or [F.lit(0)]))
     cells = cells.withColumn("least_visible", F.min(F.when(visible, F.col("di_vs_sized"))).over(w))
     return cells.groupBy(*by).agg(
         F.count("*").alias("cells"), F.count_if("below_floor").alias("suppressed"), worst(visible).alias("worst_visible"), F.min("least_visible").alias("worst_visible_di"),
-        worst(F.col("di_vs_sized").isNotNull()).alias("worst_actual"), F.min("di_vs_sized").alias("worst_actual_di"), F.count_if(F.col("below_floor") & (F.col("di_vs_sized") < F.col("least_visible"))).alias("suppressed_worse"),
+        worst(F.lit(True)).alias("worst_actual"), F.min("di_vs_sized").alias("worst_actual_di"), F.count_if(F.col("below_floor") & (F.col("di_vs_sized") < F.col("least_visible"))).alias("suppressed_worse"),
     )
 
 

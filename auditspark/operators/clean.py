@@ -7,14 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditspark.operators.models import exact_quantiles, medians
+
 
 def iqr_bounds(train: DataFrame, columns: Sequence[str], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """One row with low_<c> and high_<c>: quartiles less and plus 1.5 interquartile ranges. ``exact=False`` uses sketches."""
+    if exact:
+        quartiles = exact_quantiles(train, columns, [0.25, 0.75])
+    else:
+        quartiles = train.agg(*[F.percentile_approx(c, [0.25, 0.75], accuracy).alias(c) for c in columns])
     out = []
     for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) if exact else F.percentile_approx(c, [0.25, 0.75], accuracy)
+        q = F.col(c)
         out += [(q[0] - 1.5 * (q[1] - q[0])).alias(f"low_{c}"), (q[1] + 1.5 * (q[1] - q[0])).alias(f"high_{c}")]
-    return train.agg(*out)
+    return quartiles.select(*out)
 
 
 def winsorised(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -25,7 +31,7 @@ def winsorised(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) -> Data
 
 def median_target(df: DataFrame, column: str, train: Column) -> DataFrame:
     """Adds ``high``: above the median of the training rows. The median is one row, so it is broadcast."""
-    middle = df.where(train).agg(F.median(column).alias("middle"))
+    middle = medians(df.where(train), [column]).select(F.col(f"m_{column}").alias("middle"))
     return df.crossJoin(F.broadcast(middle)).withColumn("high", F.coalesce(F.col(column) > F.col("middle"), F.lit(False)).cast("int")).drop("middle")
 
 

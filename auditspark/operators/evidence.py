@@ -32,6 +32,11 @@ def similar_titles(left: DataFrame, right: DataFrame, least: float = 0.72) -> Da
     return pairs.select("a", "b", shared.alias("similarity")).where(F.col("similarity") >= least).distinct()
 
 
+def html_title(html: Column) -> Column:
+    """The text of a page's first title element, empty without one."""
+    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+
+
 def ranked(papers: DataFrame, key: list[str], min_citations: int, most: int) -> DataFrame:
     """The best sources of each key: cited ones by citations and year, then others by year and citations; duplicates go.
 

@@ -32,7 +32,11 @@ def with_reference(cells: DataFrame, convention: str, by: Sequence[str] = (), ra
 
 
 def di_intervals(cells: DataFrame, floor: int = 15) -> DataFrame:
-    """DI against the reference with conservative bounds lo / ref_hi and hi / ref_lo, and what they decide."""
+    """DI against the reference with conservative bounds lo / ref_hi and hi / ref_lo, and what they decide.
+
+    Cells without a reference (no cell is eligible) give no row.
+    """
+    cells = cells.where(F.col("ref_cell").isNotNull())
     lo, hi = wilson(F.col("k"), F.col("n"))
     ref_lo, ref_hi = wilson(F.col("ref_k"), F.col("ref_n"))
     c = F.col

@@ -17,7 +17,7 @@ from auditspark.functions.scalars import ratio
 
 def feature_statistics(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, median, mean, std): the mean and population deviation after the median has filled nulls."""
-    mids = train.agg(*[F.median(c).alias(f"m_{c}") for c in columns])
+    mids = medians(train, columns)
     rows = train.crossJoin(F.broadcast(mids))
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"m_{c}")) for c in columns}
     out = rows.agg(*[F.struct(F.lit(c).alias("column"), F.max(f"m_{c}").cast("double").alias("median"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")).alias(c) for c, x in filled.items()])
@@ -26,7 +26,7 @@ def feature_statistics(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def standardised(df: DataFrame, train: Column, columns: Sequence[str]) -> DataFrame:
     """Nulls filled with the training median, then centred and scaled by the training rows (no scaling where constant)."""
-    mids = df.where(train).agg(*[F.median(c).alias(f"m_{c}") for c in columns])
+    mids = medians(df.where(train), columns)
     rows = df.crossJoin(F.broadcast(mids)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"m_{c}")) for c in columns})
     stats = rows.where(train).agg(*[a for c in columns for a in (F.avg(c).alias(f"a_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
     rows = rows.crossJoin(F.broadcast(stats))
@@ -101,11 +101,11 @@ def score_counts(df: DataFrame, score: str = "score", by: Sequence[str] = ()) ->
 def _running(counts: DataFrame, columns: Sequence[str], parts: int = 64) -> DataFrame:
     """Running sums by falling score without a single-task window: score ranges, their totals, sums inside each.
 
-    The ranges' bounds are approximate quantiles, their totals one row a range, so both are small at any size.
+    The ranges' bounds are approximate quantiles in one row, their totals one row a range, so both are small at any size.
     """
-    bounds = counts.agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"] or []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x > F.col("score")))
-    spread = counts.withColumn("part", part)
+    bounds = counts.agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 1000).alias("bounds"))
+    part = F.size(F.filter(F.coalesce("bounds", F.array().cast(counts.select(F.array("score")).dtypes[0][1])), lambda x: x > F.col("score")))
+    spread = counts.crossJoin(F.broadcast(bounds)).withColumn("part", part).drop("bounds")
     inside = Window.partitionBy("part").orderBy(F.desc("score"))
     totals = spread.groupBy("part").agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,6 +113,32 @@ def _running(counts: DataFrame, columns: Sequence[str], parts: int = 64) -> Data
     return spread.join(F.broadcast(offsets), "part").withColumns({f"cum_{c}": F.col(f"o_{c}") + F.sum(c).over(inside) for c in columns}).drop("part", *[f"o_{c}" for c in columns])
 
 
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """One row: for each column an array of its exact quantiles (nulls left out), interpolated between neighbours.
+
+    Values are counted by partial sums, running counts go by value ranges, and only the values at the wanted ranks are
+    kept, so no task sees all distinct values.
+    """
+    out = None
+    for c in columns:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("score")).agg(F.count("*").cast("double").alias("n"))
+        all_rows = counts.agg(F.sum("n").alias("rows"))
+        places = _running(counts, ["n"], 256).crossJoin(F.broadcast(all_rows)).withColumn("first", F.col("rows") - F.col("cum_n"))
+        values = []
+        for share in shares:
+            at = (F.col("rows") - 1) * share
+            on = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("score")))
+            values.append(on(F.floor(at)) + (on(F.ceil(at)) - on(F.floor(at))) * F.max(at - F.floor(at)))
+        one = places.agg(F.array(*values).alias(c))
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the exact median m_<c> of each column."""
+    return exact_quantiles(df, columns, [0.5]).select(*[F.col(c)[0].alias(f"m_{c}") for c in columns])
+
+
 def roc_curve(df: DataFrame, score: str = "score") -> DataFrame:
     """(score, tpr, fpr) at every distinct score."""
     counts = score_counts(df, score)

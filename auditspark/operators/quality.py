@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.scalars import ratio
+from auditspark.operators.models import medians
 
 
 def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -29,8 +30,9 @@ def missing_by_outcome(df: DataFrame, columns: Sequence[str], target: str) -> Da
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, minimum, median, maximum)."""
-    aggs = [F.struct(F.lit(c).alias("column"), F.min(c).cast("double").alias("minimum"), F.median(c).cast("double").alias("median"), F.max(c).cast("double").alias("maximum")).alias(c) for c in columns]
-    return df.agg(*aggs).select(F.inline(F.array(*columns)))
+    ends = df.agg(*[a for c in columns for a in (F.min(c).cast("double").alias(f"low_{c}"), F.max(c).cast("double").alias(f"high_{c}"))])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"low_{c}").alias("minimum"), F.col(f"m_{c}").alias("median"), F.col(f"high_{c}").alias("maximum")) for c in columns]
+    return ends.crossJoin(F.broadcast(medians(df, columns))).select(F.inline(F.array(*rows)))
 
 
 def split_report(df: DataFrame, split: str, target: str) -> DataFrame:

@@ -39,6 +39,11 @@ def completeness(r: Column) -> Column:
     return point(_text(r, "attribute") != "", 4) + point(F.length(_text(r, "what_is_wrong")) >= 100, 8) + point(filled, 8) + point(F.length(_text(r, "why_is_wrong")) >= 100, 5) + point(F.size(r["supporting_research"]) >= 2, 5)
 
 
+def full_text(r: Column) -> Column:
+    """Attribute, severity, narrative fields and sources of a result in one lower-case text."""
+    return F.lower(F.concat_ws(" ", r["attribute"], r["severity"], *[r[f] for f in NARRATIVE], r["supporting_research"]))
+
+
 def covers(expected: Column, got: Column) -> Column:
     """Whether every expected attribute was answered."""
     return F.size(F.array_except(expected, got)) == 0

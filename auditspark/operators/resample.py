@@ -15,16 +15,23 @@ from pyspark.sql import functions as F
 
 from auditspark.functions.scalars import ratio, wilson
 from auditspark.operators.intervals import eb_shrunk, with_reference
+from auditspark.operators.split import DIGITS
 
 POLICIES = ("floor15", "floor30", "point", "wilson", "eb")
+#: Most cells of a study: their table goes to every task.
+MOST_CELLS = 100_000
 
 
 def drawn_counts(cells: DataFrame, sizes: Sequence[int], draws: int, seed: int = 20260808) -> DataFrame:
     """(m, draw, cell, k, n) for every size, draw and cell (cells that a draw misses have n = 0).
 
-    ``cells`` has (cell, k, n) and one row a cell; it is collected, since it doesn't grow with the rows.
+    ``cells`` has (cell, k, n) and one row a cell; it is collected, since it doesn't grow with the rows. More than
+    ``MOST_CELLS`` cells are an error.
     """
-    table = [(r["cell"], int(r["k"]), int(r["n"])) for r in cells.orderBy("cell").select("cell", "k", "n").collect()]
+    table = [(r["cell"], int(r["k"]), int(r["n"])) for r in cells.select("cell", "k", "n").limit(MOST_CELLS + 1).collect()]
+    if len(table) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
+    table.sort()
     spark = cells.sparkSession
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,10 +51,16 @@ def drawn_counts(cells: DataFrame, sizes: Sequence[int], draws: int, seed: int =
 
 
 def hash_draws(rows: DataFrame, sizes: Sequence[int], draws: int) -> DataFrame:
-    """(m, draw, cell, k, n) from rows (record_id, cell, fav): the m rows with the smallest md5(record_id|draw)."""
+    """(m, draw, cell, k, n) from rows (record_id, cell, fav): the m rows with the smallest md5(record_id|draw).
+
+    Rows are counted by the digest's first digits; only those up to the digits at which the largest sample ends are ranked.
+    """
     each = rows.select("record_id", "cell", "fav", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    rank = F.row_number().over(Window.partitionBy("draw").orderBy(F.md5(F.concat_ws("|", F.col("record_id").cast("string"), F.col("draw").cast("string"))), "record_id"))
-    ranked = each.withColumn("rank", rank)
+    each = each.withColumn("h", F.md5(F.concat_ws("|", F.col("record_id").cast("string"), F.col("draw").cast("string")))).withColumn("bucket", F.substring("h", 1, DIGITS))
+    before = Window.partitionBy("draw").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = each.groupBy("draw", "bucket").agg(F.count("*").alias("rows")).select("draw", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    near = each.join(counts.where(F.col("offset") < max(sizes)), ["draw", "bucket"])
+    ranked = near.withColumn("rank", F.col("offset") + F.row_number().over(Window.partitionBy("draw", "bucket").orderBy("h", "record_id")))
     taken = ranked.select("draw", "cell", "fav", F.explode(F.filter(F.array(*[F.lit(m) for m in sizes]), lambda m: F.col("rank") <= m)).alias("m"))
     seen = taken.groupBy("m", "draw", "cell").agg(F.sum("fav").cast("long").alias("k"), F.count("*").alias("n"))
     grid = rows.select("cell").distinct().crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(m, d) for m in sizes for d in range(draws)], "m int, draw int")))

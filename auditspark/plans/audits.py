@@ -200,9 +200,9 @@ def w02(spark, sf_dir) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts and percentages of a column's values."""
-    from pyspark.sql import Window
-
-    return df.groupBy(column).agg(F.count("*").alias("n")).withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select(column, "n", (100.0 * F.col("n") / F.col("total")).alias("pct"))
 
 
 @query("a15_value_counts", "SELECT l_returnflag, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM lineitem GROUP BY 1")
@@ -297,7 +297,8 @@ QUERIES["x06_determinacy"], ORACLE_SQL["x06_determinacy"] = QUERIES["x05_di_inte
 def w03(spark, sf_dir) -> DataFrame:
     cells, out = _pair_cells(spark, sf_dir), None
     for c in intervals.CONVENTIONS:
-        one = intervals.with_reference(cells, c, floor=60, control="NATION_7 x 5-LOW").select(F.lit(c).alias("convention"), "ref_cell", "ref_rate").distinct()
+        referred = intervals.with_reference(cells, c, floor=60, control="NATION_7 x 5-LOW", strict=True).where("ref_cell IS NOT NULL")
+        one = referred.select(F.lit(c).alias("convention"), "ref_cell", "ref_rate").distinct()
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -170,13 +170,14 @@ def l16(spark, sf_dir) -> DataFrame:
 
 
 def _results(spark, sf_dir) -> DataFrame:
-    """Records with a result struct made of the text: its parts as narrative fields."""
-    part = lambda k: F.substring("text", 1 + 150 * k, 150)
-    result = F.struct(F.col("attribute"), F.col("severity"), part(0).alias("what_is_wrong"), part(1).alias("why_is_wrong"), part(2).alias("how_to_fix"), F.slice(F.split("text", r"\. "), 1, 2).alias("supporting_research"))
+    """Records with a result struct made of the whole text: its thirds as narrative fields, its sentences as sources."""
+    third = F.floor((F.length("text") + 2) / 3).cast("int")
+    part = lambda k: F.substr(F.col("text"), third * k + 1, third)
+    result = F.struct(F.col("attribute"), F.col("severity"), part(0).alias("what_is_wrong"), part(1).alias("why_is_wrong"), part(2).alias("how_to_fix"), F.split("text", r"\. ").alias("supporting_research"))
     return views.records(spark, sf_dir).select("record_id", "dataset", "attribute", "cycle", "text", "severity", result.alias("result"))
 
 
-_PARTS = f"""{RECORDS_SQL}, p AS (SELECT record_id, dataset, attribute, cycle, text, severity, substr(text, 1, 150) AS w1, substr(text, 151, 150) AS w2, substr(text, 301, 150) AS w3, string_split(text, '. ')[1:2] AS src FROM audit_records),
+_PARTS = f"""{RECORDS_SQL}, p AS (SELECT record_id, dataset, attribute, cycle, text, severity, substr(text, 1, (length(text) + 2) // 3) AS w1, substr(text, (length(text) + 2) // 3 + 1, (length(text) + 2) // 3) AS w2, substr(text, 2 * ((length(text) + 2) // 3) + 1) AS w3, string_split(text, '. ') AS src FROM audit_records),
 ref AS (SELECT *, list_bool_or([{', '.join(f"contains(lower(text), '{x.replace(chr(39), chr(39) * 2)}')" for x in R.REFUSALS)}]) AS phrase, attribute = '' OR severity = '' OR w1 = '' OR w2 = '' OR w3 = '' AS missing,
  length(w1) < 40 OR length(w2) < 40 OR length(w3) < 40 AS brief, trim(upper(severity)) <> '' AND trim(upper(severity)) NOT IN ('CRITICAL', 'HIGH', 'MODERATE', 'LOW') AS odd FROM p)"""
 
@@ -208,7 +209,7 @@ def l02(spark, sf_dir) -> DataFrame:
     return l06(spark, sf_dir).join(_with_base(spark, sf_dir).where("baseline IS NOT NULL").select("record_id"), "record_id").select("record_id", F.col("severity_agreement").alias("points"))
 
 
-@query("l03_cause_alignment", f"WITH {RECORDS_SQL}, {_BASE} SELECT record_id, CASE WHEN base.baseline IS NULL THEN 10.0 ELSE 15.0 * (contains(lower(substr(text, 151, 150)), 'representation bias')::INT + contains(lower(substr(text, 151, 150)), 'the')::INT) / 2 END::DOUBLE AS points FROM audit_records LEFT JOIN base USING (dataset, attribute)")
+@query("l03_cause_alignment", f"WITH {_PARTS}, {_BASE} SELECT record_id, CASE WHEN base.baseline IS NULL THEN 10.0 ELSE 15.0 * (contains(lower(w2), 'representation bias')::INT + contains(lower(w2), 'the')::INT) / 2 END::DOUBLE AS points FROM p LEFT JOIN base USING (dataset, attribute)")
 def l03(spark, sf_dir) -> DataFrame:
     return l06(spark, sf_dir).select("record_id", F.col("cause_alignment").alias("points"))
 
@@ -270,10 +271,13 @@ def l09(spark, sf_dir) -> DataFrame:
 _TT = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(regexp_replace({}, '[{{}}]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''))"
 
 
-@query("j11_similar_titles", f"WITH l AS (SELECT item_id AS a, {_TT.format('text')} AS ta FROM benchmark), r AS (SELECT page_id AS b, {_TT.format('substr(html, 100, 400)')} AS tb FROM pages), x AS (SELECT a, b, len(list_intersect(ta, tb)) / CAST(least(len(ta), len(tb)) AS DOUBLE) AS similarity FROM l, r WHERE len(ta) > 0 AND len(tb) > 0) SELECT * FROM x WHERE similarity >= 0.2")
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query("j11_similar_titles", f"WITH l AS (SELECT item_id AS a, {_TT.format('text')} AS ta FROM benchmark), r AS (SELECT page_id AS b, {_TT.format(_TITLE)} AS tb FROM pages), x AS (SELECT a, b, len(list_intersect(ta, tb)) / CAST(least(len(ta), len(tb)) AS DOUBLE) AS similarity FROM l, r WHERE len(ta) > 0 AND len(tb) > 0) SELECT * FROM x WHERE similarity >= 0.2")
 def j11(spark, sf_dir) -> DataFrame:
     left = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"))
-    right = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.substring("html", 100, 400).alias("title"))
+    right = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), evidence.html_title(F.col("html")).alias("title"))
     return evidence.similar_titles(left, right, 0.2)
 
 
@@ -301,10 +305,10 @@ def k05(spark, sf_dir) -> DataFrame:
     return evidence.ranked(papers, ["attr"], 60, 8)
 
 
-@query("k06_recurrent_failures", "SELECT lower(trim(substr(text, 1, 12))) AS failure, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, failure LIMIT 10")
+@query("k06_recurrent_failures", "SELECT lower(trim(text)) AS failure, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, failure LIMIT 10")
 def k06(spark, sf_dir) -> DataFrame:
-    """The ten commonest recurrent openings (a top-k report)."""
-    return _t(spark, sf_dir, "conversations").groupBy(F.lower(F.trim(F.substring("text", 1, 12))).alias("failure")).agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "failure").limit(10)
+    """The ten commonest recurrent texts (a top-k report)."""
+    return _t(spark, sf_dir, "conversations").groupBy(F.lower(F.trim("text")).alias("failure")).agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "failure").limit(10)
 
 
 @query("k07_best_run", f"WITH {RECORDS_SQL}, r AS (SELECT dataset, attribute, avg(total_score) FILTER (cycle = 4) AS final, avg(total_score) FILTER (cycle = 3) AS validation FROM audit_records GROUP BY 1, 2), b AS (SELECT dataset, first(attribute ORDER BY final DESC, attribute) AS best, max(final) AS final, first(validation ORDER BY final DESC, attribute) AS v FROM r WHERE final IS NOT NULL GROUP BY 1) SELECT dataset, best, final, coalesce(v >= final, FALSE) AS promoted FROM b", rounded=("final",))
@@ -354,9 +358,10 @@ def x21(spark, sf_dir) -> DataFrame:
     return rows.select("attribute", F.explode(R.numeric_leaves(F.col("metrics"), ["di", "dpd", "eod", "aod"], F.col("groups"), ["n", "selection_rate"])).alias("value"))
 
 
-@query("x22_full_text", f"WITH {RECORDS_SQL} SELECT record_id, lower(concat_ws(' ', attribute, severity, substr(text, 1, 150))) AS full_text FROM audit_records")
+@query("x22_full_text", f"WITH {_PARTS} SELECT record_id, lower(concat_ws(' ', attribute, severity, w1, w2, w3, array_to_string(src, ' '))) AS full_text FROM p")
 def x22(spark, sf_dir) -> DataFrame:
-    return _results(spark, sf_dir).select("record_id", F.lower(F.concat_ws(" ", "result.attribute", "result.severity", "result.what_is_wrong")).alias("full_text"))
+    """Attribute, severity, all narrative fields and all sources of a record in one lower-case text."""
+    return _results(spark, sf_dir).select("record_id", R.full_text(F.col("result")).alias("full_text"))
 
 
 @query("x23_citation_line", "SELECT doc_id, array_to_string([source, lang], ', ') || ' | ' || n_chars || ' | ' || 'corpus' || ' | ' || n_chars || ' citations | ' || CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 220 THEN rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 217)) || '...' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS line FROM documents")
