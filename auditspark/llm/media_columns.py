@@ -1,7 +1,7 @@
 """Operator 3: images in columns: Netpbm and BMP bytes to numpy arrays, area-resized, as NPY tiles with difference hashes.
 
 ``decode`` reads PBM, PGM, PPM (plain and raw) and uncompressed 8-, 24- and 32-bit BMP; anything else gives None, and so
-a null feature. ``area_resize`` averages each target cell over the exact source area through an integral image, so it
+a null feature: other formats, broken headers, too few samples, samples that are no numbers or above the greatest value. ``area_resize`` averages each target cell over the exact source area through an integral image, so it
 works for any pair of sizes. The difference hash compares neighbouring cells of a 9 x 8 resize: 64 bits as 16 hex digits.
 
 ``payload_images`` stores arbitrary texts losslessly as PGM images (64 samples a line), written as a media table to the
@@ -27,7 +27,7 @@ from auditspark.llm.shared import id_text, slices, written
 WIDTH = 64
 #: Side of the NPY tile of an image.
 TILE = 16
-_HEAD = re.compile(rb"(P[1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:(?:\s|#[^\n]*\n)+(\d+))?")
+_HEAD = re.compile(rb"(P[1-6])(?:\s|#[^\n]*\n)+(\d{1,9})(?:\s|#[^\n]*\n)+(\d{1,9})(?:(?:\s|#[^\n]*\n)+(\d{1,9}))?(?!\d)")
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -50,7 +50,10 @@ def _netpbm(data: bytes) -> np.ndarray | None:
     if kind == 1:
         flat = np.array([int(c) for c in re.findall(rb"[01]", data[at:])[:n]], np.int64)
     elif kind in (2, 3):
-        flat = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], np.int64)
+        samples = re.sub(rb"#[^\n]*", b"", data[at:]).split(None, n)[:n]
+        if not all(x.isdigit() and len(x) <= 9 for x in samples):
+            return None
+        flat = np.array(samples, np.int64)
     elif kind == 4:
         line = (width + 7) // 8
         raw = np.frombuffer(data, np.uint8, min(len(data) - at, line * height), at)
@@ -62,7 +65,7 @@ def _netpbm(data: bytes) -> np.ndarray | None:
         if len(data) - at < n * unit.itemsize:
             return None
         flat = np.frombuffer(data, unit, n, at)
-    if len(flat) < n:
+    if len(flat) < n or kind not in (1, 4) and flat.size and int(flat.max()) > most:
         return None
     if kind in (1, 4):
         flat = (1 - flat) * 255

@@ -4,9 +4,10 @@
    Pieces go to the shared folder. Whole ones are sequences by themselves.
 2. The others are dealt round robin into shards of about ``SHARD`` pieces, a bounded row each. On every shard several
    islands evolve packings: an individual is a set of bins; crossover injects whole well-filled bins of one parent into
-   the other, removes bins that hold the same pieces and best-fits the displaced pieces, largest first; mutation empties
-   the least-filled bins. Between epochs each island's elite migrates to the next island of its shard (a shuffle).
-   A shard that has reached its lower bound (pieces' tokens over the sequence length, rounded up) rests.
+   the other, removes bins that hold the same pieces and refits the displaced pieces; mutation empties the least-filled
+   bins. Refitting first exchanges pieces: wherever a displaced piece fills a bin better than one of its pieces, they
+   change places, so what is left over is small and best-fits more easily, largest first. Between epochs each island's elite migrates to the next island of its shard (a shuffle).
+   A shard that has reached its lower bound rests: no packing has fewer bins (see ``least_bins``).
 3. Each shard's best packing gives sequence numbers and offsets.
 
 Random choices depend on shard, island and epoch only, so a repeated task gives the same packing.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ from auditspark.llm.shared import id_text, slices, tokenizer_path, written
 LENGTH, END = 1024, 2
 #: Pieces a shard, islands a shard, individuals an island, epochs, children an epoch.
 SHARD, ISLANDS, POPULATION, EPOCHS, CHILDREN = 8192, 2, 4, 3, 6
+#: Most tasks of an epoch.
+MOST_TASKS = 10_000
 _GENOMES = "shard long, island int, sizes array<int>, genomes array<array<int>>"
 
 
@@ -90,6 +94,22 @@ class Bins:
         self.mask |= 1 << (free - size)
 
 
+def least_bins(sizes: list[int], room: int) -> int:
+    """A lower bound of the number of bins. For every limit up to half a bin: items larger than the room less the limit
+    share no bin with one of at least the limit; others above half a bin need a bin each; what items from the limit up
+    to half a bin don't find room for beside those needs further bins."""
+    counts = np.bincount(sizes, minlength=room + 1)
+    above = np.append(np.cumsum(counts[::-1])[::-1], 0)  # items of at least a size
+    tokens = np.append(np.cumsum((counts * np.arange(room + 1))[::-1])[::-1], 0)
+    half, best = room // 2 + 1, 0
+    for limit in range(room // 2 + 1):
+        alone = int(above[room - limit + 1])
+        big = int(above[half]) - alone
+        left = int(tokens[limit] - tokens[half]) - (big * room - int(tokens[half] - tokens[room - limit + 1]))
+        best = max(best, alone + big + max(0, -(-left // room)))
+    return best
+
+
 def fitness(bins: Bins) -> tuple[int, int]:
     """To be least: the number of bins, then minus the sum of squared fills (well-filled bins beside a nearly empty one)."""
     return len(bins.members), -sum((bins.room - f) ** 2 for f in bins.free)
@@ -102,15 +122,30 @@ def best_fit_all(sizes: list[int], order: list[int], room: int) -> Bins:
     return bins
 
 
+def exchanged(members: list[int], free: int, sizes: list[int], pool: list[tuple[int, int]]) -> tuple[list[int], int]:
+    """A bin and its free space after its items have changed places with larger ones of the sorted pool (size, item) that fit."""
+    members = list(members)
+    for at, k in enumerate(members):
+        place = bisect_right(pool, (sizes[k] + free, len(sizes))) - 1
+        if place >= 0 and pool[place][0] > sizes[k]:
+            size, members[at] = pool.pop(place)
+            insort(pool, (sizes[k], k))
+            free -= size - sizes[k]
+            if not free:
+                break
+    return members, free
+
+
 def rebuilt(bins: Bins, kept: Iterator[int], injected: list[list[int]], sizes: list[int], displaced: list[int]) -> Bins:
-    """The kept bins and the injected ones, and best fit for displaced items, largest first."""
+    """The kept bins, after exchanges with the displaced items, and the injected ones; best fit for what is displaced then, largest first."""
     out = Bins(bins.room)
     for members in injected:
         out.add_bin(list(members), bins.room - sum(sizes[k] for k in members))
+    pool = sorted((sizes[k], k) for k in displaced)
     for k in kept:
-        out.add_bin(list(bins.members[k]), bins.free[k])
-    for k in sorted(displaced, key=lambda k: -sizes[k]):
-        out.best_fit(k, sizes[k])
+        out.add_bin(*(exchanged(bins.members[k], bins.free[k], sizes, pool) if bins.free[k] else (list(bins.members[k]), 0)))
+    for size, k in reversed(pool):
+        out.best_fit(k, size)
     return out
 
 
@@ -153,7 +188,7 @@ def _bins(genome: np.ndarray, sizes: list[int], room: int) -> Bins:
 def evolve(sizes: list[int], genomes: list[np.ndarray], room: int, seed: str, population: int = POPULATION, children: int = CHILDREN) -> list[np.ndarray]:
     """One epoch of one island; the best individual comes first. Without genomes the island is founded."""
     rng, n = random.Random(seed), len(sizes)
-    bound = -(-sum(sizes) // room)
+    bound = least_bins(sizes, room)
     alive = [_bins(g, sizes, room) for g in genomes]
     if not alive:
         alive.append(best_fit_all(sizes, sorted(range(n), key=lambda k: -sizes[k]), room))
@@ -191,7 +226,7 @@ def packed(items: DataFrame, room: int = LENGTH, shard_items: int = SHARD, islan
     shards = written(dealt.groupBy("shard").agg(F.collect_list("item").alias("items")), "shards")
     sizes = F.transform("items", lambda x: x["length"].cast("int"))
     state = shards.select("shard", sizes.alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    state = state.select("shard", "island", "sizes", F.array().cast("array<array<int>>").alias("genomes")).repartition("shard", "island")
+    state = state.select("shard", "island", "sizes", F.array().cast("array<array<int>>").alias("genomes")).repartition(min(n * islands, MOST_TASKS), "shard", "island")
     for number in range(epochs):
         if number:  # each island gets the elite of the one before
             elites = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.slice("genomes", 1, 1).alias("elite"))

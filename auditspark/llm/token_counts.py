@@ -5,7 +5,8 @@ A document is cut where the splitting pattern must cut (at a single space betwee
 character sums to the leaves it touches, takes in a neighbouring leaf where the text around its border no longer forces
 a cut, encodes that region only, and updates the sums on the way up. The count is always that of encoding the whole text.
 
-Cases: a null text counts as empty (no tokens); null or no edits change nothing; edits are (start, end, replacement) in
+Cases: a null text counts as empty (no tokens); null or no edits change nothing, nor does an edit whose start or end is
+null; a null replacement removes; edits are (start, end, replacement) in
 characters of the original text, applied together; of edits that overlap an earlier one the later is left out; borders
 beyond the text are moved to its end; any length is handled; repeated rows are counted each; other columns are ignored.
 """
@@ -129,7 +130,7 @@ def recounted(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         for b in slices(batches):
             out = []
             for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                changes = [(m.start(), m.end(), f"<{m.lastgroup}>") for m in SCRUBBED.finditer(text)] if edits_col is None else [(e["start"], e["end"], e["new"] or "") for e in edits or () if e]
+                changes = [(m.start(), m.end(), f"<{m.lastgroup}>") for m in SCRUBBED.finditer(text)] if edits_col is None else [(e["start"], e["end"], e["new"] or "") for e in edits or () if e and e["start"] is not None and e["end"] is not None]
                 out.append(applied(text, changes, own))
             cols = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n_tokens", "n_edits", "n_tokens_after", "encoded_chars"])

@@ -1,15 +1,17 @@
 """Operator 5: toxicity by weak supervision.
 
-Voters are words of a small lexicon, words and word beginnings that go with label 1 among the labelled rows, and a few
-patterns. A generative model with a hidden class estimates by EM how often each voter fires in either class (the given
-label is one more voter, with an accuracy of its own) and, from what the model leaves unexplained, how voters are
-correlated; the evidence of correlated voters is shared out. Its posterior labels train a logistic regression on the
-voters' votes, which scores every text.
+Voters are words of a small lexicon, words and word beginnings that go with label 1 among the labelled rows (a beginning
+may vote once or only where several words of a text have it), and a few patterns. A generative model with a hidden class
+estimates by EM how often each voter fires in either class (the given label is one more voter, with an accuracy of its
+own) and how voters are correlated: given the class each voter depends on one other voter, along the tree of greatest
+conditional mutual information, so voters that say the same count once. Its posterior labels train a logistic regression
+on the voters' votes, which scores every text.
 
 Fitting takes at most ``SAMPLE`` labelled rows (those with the smallest id hashes); everything else covers all rows.
 
 Cases: a null text counts as empty; a text without any vote gets the score of the intercept; without labelled rows of
-both classes the lexicon alone votes with fixed weights; repeated rows get equal scores; other columns are ignored.
+both classes the lexicon alone votes with fixed weights; repeated rows get equal scores; texts of any length are read
+whole; other columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +54,16 @@ def features(word: str) -> list[str]:
     return [f"w:{word}", *(f"b:{word[:n]}" for n in BEGINNINGS if len(word) > n)]
 
 
+def features_of(words: set[str]) -> set[str]:
+    """All features of a text's words; r: and s: stand for beginnings of at least two and three different words."""
+    counts = Counter(f for w in words for f in features(w))
+    return counts.keys() | {f"{kind}:{f[2:]}" for f, n in counts.items() if n > 1 for kind in ("r" if n == 2 else "rs")}
+
+
 def votes_of(text: str, known: dict[str, tuple[int, ...]], patterns: list[tuple[int, re.Pattern]]) -> set[int]:
     """Numbers of the voters that fire. ``known`` maps words to voters and fills itself."""
-    fired = set().union(*filter(None, map(known.__getitem__, set(_WORD.findall(text.lower())))))
+    hits = Counter(chain.from_iterable(filter(None, map(known.__getitem__, set(_WORD.findall(text.lower()))))))
+    fired = {k for k, n in hits.items() if n >= known.least[k]} if hits else set()
     fired.update(k for k, p in patterns if p.search(text))
     return fired
 
@@ -63,12 +73,15 @@ class _Known(dict):
 
     def __init__(self, voters: list[str]):
         super().__init__()
-        self.at = {v: k for k, v in enumerate(voters)}
+        self.at: dict[str, list[int]] = {}  # voters by word or beginning
+        self.least = [{"r": 2, "s": 3}.get(v[0], 1) for v in voters]
+        for k, v in enumerate(voters):
+            self.at.setdefault(f"b{v[1:]}" if v[0] in "rs" else v, []).append(k)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 200_000:
             self.clear()
-        value = self[word] = tuple(self.at[f] for f in features(word) if f in self.at)
+        value = self[word] = tuple(k for f in features(word) for k in self.at.get(f, ()))
         return value
 
 
@@ -83,7 +96,7 @@ def mined_voters(sample: DataFrame, most: int = VOTERS) -> list[str]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for b in slices(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[label].update({f for w in set(_WORD.findall(text.lower())) for f in features(w)})
+                counts[label].update(features_of(set(_WORD.findall(text.lower()))))
         names = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][f] for f in names], pa.int64()), pa.array([counts[0][f] for f in names], pa.int64())], names=["feature", "ones", "zeros"])
 
@@ -98,20 +111,58 @@ def mined_voters(sample: DataFrame, most: int = VOTERS) -> list[str]:
     return fixed + [r["feature"] for r in found.collect() if r["feature"] not in fixed]
 
 
+def dependency_tree(both: list[np.ndarray], sizes: list[float]) -> np.ndarray:
+    """Each voter's parent (its own number at the root) in the tree of greatest mutual information given the class.
+
+    ``both`` holds for either class how often each pair of voters fires together, ``sizes`` the rows of the classes.
+    """
+    information = np.zeros(both[0].shape)
+    for together, n in zip(both, sizes, strict=True):
+        alone = np.diag(together)
+        for x in (0, 1):
+            for y in (0, 1):
+                one, two = (alone if x else n - alone)[:, None], (alone if y else n - alone)[None, :]
+                cell = together if x and y else alone[:, None] - together if x else alone[None, :] - together if y else n - alone[:, None] - alone[None, :] + together
+                information += np.clip(cell, 0, None) * np.log((np.clip(cell, 0, None) + 1e-9) * n / (one * two + 1e-9) + 1e-12)
+    parent = np.zeros(len(information), int)
+    nearest = information[0].copy()
+    nearest[0] = -np.inf
+    for _ in range(len(information) - 1):
+        k = int(nearest.argmax())
+        nearest[k] = -np.inf
+        closer = (information[k] > nearest) & (nearest > -np.inf)
+        parent[closer], nearest[closer] = k, information[k][closer]
+    return parent
+
+
 def label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior of class 1 for each row, from votes (rows x voters) and given labels."""
+    """Posterior of class 1 for each row, from votes (rows x voters) and given labels.
+
+    Rates given class and parent are smoothed by ``2`` rows at the rate given the class alone.
+    """
     n, q = len(labels), np.where(labels == 1, 0.9, 0.1)
-    for _ in range(rounds):
+    said, voters = (labels == 1).astype(float), np.arange(fires.shape[1])
+    parent = None
+    for step in range(rounds):
         ones, prior = q.sum(), np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        rate1, rate0 = (fires.T @ q + 0.5) / (ones + 1), (fires.T @ (1 - q) + 0.5) / (n - ones + 1)
-        left = fires - (q[:, None] * rate1 + (1 - q)[:, None] * rate0)  # what the class doesn't explain
-        scale = np.sqrt((left**2).mean(0)) + 1e-6
-        correlation = (left.T @ left / n) / np.outer(scale, scale)
-        np.fill_diagonal(correlation, 0)
-        share = 1 / (1 + np.clip(correlation - 0.1, 0, None).sum(0))
-        said = (labels == 1).astype(float)
+        both, sizes = [fires.T @ (fires * (1 - q)[:, None]), fires.T @ (fires * q[:, None])], [n - ones, ones]
+        if parent is None or step < 3:
+            parent = dependency_tree(both, sizes)
+            case = (2 * fires[:, parent] + fires).astype(np.int8)
+        logs = []
+        for together, size in zip(both, sizes, strict=True):
+            alone = np.diag(together)
+            rate = (alone + 0.5) / (size + 1)
+            of_parent = alone[parent]
+            on = (together[parent, voters] + 2 * rate) / (of_parent + 2)
+            off = (alone - together[parent, voters] + 2 * rate) / (size - of_parent + 2)
+            root = parent == voters
+            on[root], off[root] = rate[root], rate[root]
+            on, off = np.clip(on, 1e-6, 1 - 1e-6), np.clip(off, 1e-6, 1 - 1e-6)
+            logs.append(np.log([1 - off, off, 1 - on, on]))
+        odds = logs[1] - logs[0]
         hit, false = np.clip((said @ q + 4) / (ones + 5), 0.6, 0.995), np.clip((said @ (1 - q) + 0.5) / (n - ones + 5), 0.005, 0.4)
-        logit = math.log(prior / (1 - prior)) + fires @ (share * np.log(rate1 / rate0)) + (1 - fires) @ (share * np.log((1 - rate1) / (1 - rate0)))
+        logit = math.log(prior / (1 - prior)) + sum(np.where(case == k, odds[k], 0.0).sum(1) for k in range(4))
         logit = logit + np.where(said > 0, math.log(hit / false), math.log((1 - hit) / (1 - false)))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - q).max() < 1e-4:
@@ -120,7 +171,7 @@ def label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     return q
 
 
-def logistic(fires: np.ndarray, target: np.ndarray, ridge: float = 0.2, rounds: int = 30) -> tuple[np.ndarray, float]:
+def logistic(fires: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Weights and intercept of a ridge logistic regression on soft targets, by Newton steps."""
     x = np.hstack([fires, np.ones((len(fires), 1))])
     penalty = np.full(x.shape[1], ridge)

@@ -215,7 +215,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     frames = index.select("bundle").distinct().mapInArrow(list_frames, "bundle string, frame int, at long, size long")
-    return frames.repartition("bundle", "frame").mapInArrow(read, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frames.repartition(parts, "bundle", "frame").mapInArrow(read, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def fetch(index: DataFrame) -> DataFrame:
