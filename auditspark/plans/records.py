@@ -305,10 +305,11 @@ def k05(spark, sf_dir) -> DataFrame:
     return evidence.ranked(papers, ["attr"], 60, 8)
 
 
-@query("k06_recurrent_failures", "SELECT lower(trim(text)) AS failure, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, failure LIMIT 10")
+@query("k06_recurrent_failures", "SELECT lower(trim(s)) AS failure, count(*) AS n FROM (SELECT unnest(string_split(text, '. ')) AS s FROM conversations) GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, failure LIMIT 10")
 def k06(spark, sf_dir) -> DataFrame:
-    """The ten commonest recurrent texts (a top-k report)."""
-    return _t(spark, sf_dir, "conversations").groupBy(F.lower(F.trim("text")).alias("failure")).agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "failure").limit(10)
+    """The ten commonest recurrent statements (a top-k report)."""
+    said = _t(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"\. ")).alias("s"))
+    return said.groupBy(F.lower(F.trim("s")).alias("failure")).agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "failure").limit(10)
 
 
 @query("k07_best_run", f"WITH {RECORDS_SQL}, r AS (SELECT dataset, attribute, avg(total_score) FILTER (cycle = 4) AS final, avg(total_score) FILTER (cycle = 3) AS validation FROM audit_records GROUP BY 1, 2), b AS (SELECT dataset, first(attribute ORDER BY final DESC, attribute) AS best, max(final) AS final, first(validation ORDER BY final DESC, attribute) AS v FROM r WHERE final IS NOT NULL GROUP BY 1) SELECT dataset, best, final, coalesce(v >= final, FALSE) AS promoted FROM b", rounded=("final",))
