@@ -98,19 +98,21 @@ def score_counts(df: DataFrame, score: str = "score", by: Sequence[str] = ()) ->
     return df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col("actual") == 1).cast("double").alias("pos"), F.count_if(F.col("actual") != 1).cast("double").alias("neg"))
 
 
-def _running(counts: DataFrame, columns: Sequence[str], parts: int = 64) -> DataFrame:
+def _running(counts: DataFrame, columns: Sequence[str], parts: int = 64, by: Sequence[str] = ()) -> DataFrame:
     """Running sums by falling score without a single-task window: score ranges, their totals, sums inside each.
 
-    The ranges' bounds are approximate quantiles in one row, their totals one row a range, so both are small at any size.
+    The ranges' bounds are approximate quantiles in one row (one for each ``by``, few names), their totals one row a range,
+    so both are small at any size.
     """
-    bounds = counts.agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 1000).alias("bounds"))
+    bounds = counts.groupBy(*by).agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 1000).alias("bounds"))
     part = F.size(F.filter(F.coalesce("bounds", F.array().cast(counts.select(F.array("score")).dtypes[0][1])), lambda x: x > F.col("score")))
-    spread = counts.crossJoin(F.broadcast(bounds)).withColumn("part", part).drop("bounds")
-    inside = Window.partitionBy("part").orderBy(F.desc("score"))
-    totals = spread.groupBy("part").agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0.0)).alias(f"o_{c}") for c in columns])
-    return spread.join(F.broadcast(offsets), "part").withColumns({f"cum_{c}": F.col(f"o_{c}") + F.sum(c).over(inside) for c in columns}).drop("part", *[f"o_{c}" for c in columns])
+    spread = counts.join(F.broadcast(bounds), list(by)) if by else counts.crossJoin(F.broadcast(bounds))
+    spread = spread.withColumn("part", part).drop("bounds")
+    inside = Window.partitionBy(*by, "part").orderBy(F.desc("score"))
+    totals = spread.groupBy(*by, "part").agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "part", *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0.0)).alias(f"o_{c}") for c in columns])
+    return spread.join(F.broadcast(offsets), [*by, "part"]).withColumns({f"cum_{c}": F.col(f"o_{c}") + F.sum(c).over(inside) for c in columns}).drop("part", *[f"o_{c}" for c in columns])
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
@@ -119,19 +121,18 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     Values are counted by partial sums, running counts go by value ranges, and only the values at the wanted ranks are
     kept, so no task sees all distinct values.
     """
-    out = None
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("score")).agg(F.count("*").cast("double").alias("n"))
-        all_rows = counts.agg(F.sum("n").alias("rows"))
-        places = _running(counts, ["n"], 256).crossJoin(F.broadcast(all_rows)).withColumn("first", F.col("rows") - F.col("cum_n"))
-        values = []
-        for share in shares:
-            at = (F.col("rows") - 1) * share
-            on = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("score")))
-            values.append(on(F.floor(at)) + (on(F.ceil(at)) - on(F.floor(at))) * F.max(at - F.floor(at)))
-        one = places.agg(F.array(*values).alias(c))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
-    return out
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("score")) for c in columns]))
+    counts = df.select(cells.alias("x")).select("x.*").where("score IS NOT NULL").groupBy("column", "score").agg(F.count("*").cast("double").alias("n"))
+    rows = counts.groupBy("column").agg(F.sum("n").alias("rows"))
+    places = _running(counts, ["n"], 256, ["column"]).join(F.broadcast(rows), "column").withColumn("first", F.col("rows") - F.col("cum_n"))
+    values = []
+    for share in shares:
+        at = (F.col("rows") - 1) * share
+        on = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("score")))
+        values.append(on(F.floor(at)) + (on(F.ceil(at)) - on(F.floor(at))) * F.max(at - F.floor(at)))
+    found = places.groupBy("column").agg(F.array(*values).alias("values"))
+    none = F.array(*[F.lit(None).cast("double")] * len(shares))
+    return found.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("values"))), none).alias(c) for c in columns])
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
