@@ -84,3 +84,30 @@ def overlaid(records: DataFrame, side: DataFrame, key: str, fields: list[str]) -
     """Fields of a record filled from a second source where they are null; the record wins."""
     extra = side.select(key, *[F.col(f).alias(f"side_{f}") for f in fields])
     return records.join(extra, key, "left").withColumns({f: F.coalesce(F.col(f), F.col(f"side_{f}")) for f in fields}).drop(*[f"side_{f}" for f in fields])
+
+
+def resolution_status(entries: DataFrame, cache: DataFrame, registry: DataFrame, least: float = 0.72) -> DataFrame:
+    """(key, status, similarity) of bibliography entries (key, doi, title, note).
+
+    attested (with a note), cached (verified before under the same identifier, so not looked up again), verified,
+    title_mismatch (shared tokens below ``least`` of the shorter title) or unresolved. ``cache`` has key, doi, verified;
+    ``registry`` has doi and title; an entry without a doi is looked up by its title's tokens. A missing doi counts as
+    empty; of several cached rows or registered works with one key any verified one, and the one with the smallest doi and
+    title, count.
+    """
+    folded = lambda x: F.array_join(title_tokens(x), " ")
+    known = cache.where("verified").select(F.col("key").alias("known_key"), F.coalesce("doi", F.lit("")).alias("known_doi")).distinct()
+    rows = entries.select("key", F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce("title", F.lit("")).alias("title"), (F.coalesce(F.trim("note"), F.lit("")) != "").alias("attested"))
+    rows = rows.join(known, (F.col("key") == F.col("known_key")) & (F.col("doi") == F.col("known_doi")), "left")
+    skipped = F.when(F.col("attested"), "attested").when(F.col("known_key").isNotNull(), "cached")
+    rows = rows.select("key", "doi", "title", skipped.alias("status"))
+    by_doi = registry.where("doi <> ''").groupBy("doi").agg(F.min("title").alias("found"), F.lit(True).alias("hit"))
+    by_title = registry.select(folded(F.col("title")).alias("tokens"), F.struct("doi", "title").alias("r")).where("tokens <> ''").groupBy("tokens").agg(F.min("r")["title"].alias("found"), F.lit(True).alias("hit"))
+    todo = rows.where("status IS NULL").drop("status")
+    found = todo.where("doi <> ''").join(by_doi, "doi", "left").select("key", "title", "found", "hit")
+    found = found.unionByName(todo.where("doi = ''").withColumn("tokens", folded(F.col("title"))).join(by_title, "tokens", "left").select("key", "title", "found", "hit"))
+    mine, theirs = title_tokens(F.col("title")), title_tokens(F.col("found"))
+    likeness = F.coalesce(F.try_divide(F.size(F.array_intersect(mine, theirs)).cast("double"), F.least(F.size(mine), F.size(theirs)).cast("double")), F.lit(0.0))
+    s = F.when(F.col("hit"), likeness)
+    judged = found.select("key", F.when(s.isNull(), "unresolved").when(s < least, "title_mismatch").otherwise("verified").alias("status"), F.bround(s, 3).alias("similarity"))
+    return judged.unionByName(rows.where("status IS NOT NULL").select("key", "status", F.lit(None).cast("double").alias("similarity")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions import scalars as S
-from auditspark.operators import audit, diagnose, intervals
+from auditspark.operators import audit, diagnose, intervals, proxies
 from auditspark.plans import views
 from auditspark.plans.views import ORDERS_SQL, PRIVILEGED
 
@@ -341,8 +341,13 @@ def d01_findings(spark, sf_dir) -> DataFrame:
     return diagnose.findings(diagnose.imbalance(_breakdown(spark, sf_dir)))
 
 
-_CAUSES = f"""m AS ({_flagged(f'{_sides()} SELECT {METRICS_SQL} FROM r')}), i AS ({_IMB} SELECT * FROM imb),
-x AS (SELECT attribute, di, severity, coalesce(di, 1.0) AS d, [CASE WHEN base_rate_gap > 0.10 THEN 'historical_label_bias' END, CASE WHEN attribute = 'prio' THEN 'proxy_discrimination' END,
+_FEATURES = ("score", "price", "balance")
+_PROXIES = f"""l AS (SELECT * FROM (SELECT attribute, unnest([{', '.join(repr(f) for f in _FEATURES)}]) AS feature, value, unnest([{', '.join(f'{f}::DOUBLE' for f in _FEATURES)}]) AS x FROM (SELECT *, unnest(['r_name', 'seg', 'prio']) AS attribute, unnest([r_name, seg, prio]) AS value FROM audit_orders)) WHERE value IS NOT NULL AND x IS NOT NULL),
+v AS (SELECT attribute, feature, value, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM l GROUP BY 1, 2, 3), w AS (SELECT *, sum(n * mean) OVER (PARTITION BY attribute, feature) / sum(n) OVER (PARTITION BY attribute, feature) AS grand FROM v),
+o AS (SELECT attribute, feature, sqrt(sum(n * pow(mean - grand, 2)) / sum(n * var + n * pow(mean - grand, 2))) AS r FROM w GROUP BY 1, 2 HAVING sum(n) >= 10 AND count(*) >= 2)
+SELECT DISTINCT attribute FROM o WHERE r >= 0.3"""
+_CAUSES = f"""proxied AS (WITH {ORDERS_SQL}, {_PROXIES}), m AS ({_flagged(f'{_sides()} SELECT {METRICS_SQL} FROM r')}), i AS ({_IMB} SELECT * FROM imb),
+x AS (SELECT attribute, di, severity, coalesce(di, 1.0) AS d, [CASE WHEN base_rate_gap > 0.10 THEN 'historical_label_bias' END, CASE WHEN attribute IN (SELECT attribute FROM proxied) THEN 'proxy_discrimination' END,
  CASE WHEN imbalance = 'severe' OR small_groups <> '' THEN 'representation_bias' END, CASE WHEN abs(coalesce(eod, 0)) > 0.05 THEN 'unequal_opportunity' END, CASE WHEN abs(coalesce(aod, 0)) > 0.05 THEN 'unequal_odds' END] AS c FROM m JOIN i USING (attribute)),
 y AS (SELECT attribute, di, severity, d, list_filter(c, lambda v: v IS NOT NULL) AS c FROM x),
 causes AS (SELECT attribute, di, severity, CASE WHEN len(c) = 0 AND d >= 0.95 THEN ['none_detected'] ELSE c END AS causes,
@@ -352,8 +357,8 @@ causes AS (SELECT attribute, di, severity, CASE WHEN len(c) = 0 AND d >= 0.95 TH
 
 def _causes(spark, sf_dir) -> DataFrame:
     rows = views.orders(spark, sf_dir)
-    proxies = spark.createDataFrame([("prio", "strong"), ("seg", "weak")], "attribute string, strength string")
-    return diagnose.root_causes(audit.attribute_metrics(rows, PRIVILEGED), diagnose.imbalance(audit.breakdown(rows, ATTRS)), proxies)
+    found = proxies.proxies(proxies.associations(rows, ATTRS, _FEATURES))
+    return diagnose.root_causes(audit.attribute_metrics(rows, PRIVILEGED), diagnose.imbalance(audit.breakdown(rows, ATTRS)), found)
 
 
 @query("d02_root_causes", f"WITH {_CAUSES} SELECT attribute, di, severity, array_to_string(causes, ',') AS causes, array_to_string(remedies, ',') AS remedies FROM causes")

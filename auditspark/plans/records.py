@@ -98,11 +98,6 @@ def w09(spark, sf_dir) -> DataFrame:
     return m.select("dataset", "attribute", "majority", F.when(F.col("majority") == "HIGH", "Yes").when(F.array_contains("seen", "HIGH"), "Partial").otherwise("No").alias("high"))
 
 
-@query("l19_strategy_rates", f"WITH {RECORDS_SQL} SELECT cycle, count(*) AS n, avg(total_score) AS mean, min(total_score) AS least, max(total_score) AS most, avg(refused::INT) AS refusal_rate FROM audit_records GROUP BY 1", rounded=("mean", "refusal_rate"))
-def l19(spark, sf_dir) -> DataFrame:
-    return R.strategies(views.records(spark, sf_dir))
-
-
 _PRICES = [("mortgage", 2.5, 10.0), ("credit", 0.5, 1.5), ("lending", 0.0, 0.0)]
 _COST = f"WITH {RECORDS_SQL}, p(dataset, ip, op) AS (VALUES ('mortgage', 2.5, 10.0), ('credit', 0.5, 1.5), ('lending', 0.0, 0.0)), c AS (SELECT *, (input_tokens * ip + output_tokens * op)::DOUBLE / 1e6 AS cost FROM audit_records JOIN p USING (dataset))"
 
@@ -158,12 +153,6 @@ def w06(spark, sf_dir) -> DataFrame:
     return R.gain(views.records(spark, sf_dir))
 
 
-@query("l15_compliance", f"WITH {RECORDS_SQL}, v AS (SELECT record_id, list_filter([CASE WHEN NOT contains(lower(text), 'the') THEN 'grounding' END, CASE WHEN length(text) < 80 THEN 'length' END, CASE WHEN severity = '' THEN 'severity' END], lambda x: x IS NOT NULL) AS l FROM audit_records) SELECT record_id, array_to_string(l, ',') AS violations, greatest(0, 100 - 10 * len(l)) AS compliance FROM v")
-def l15(spark, sf_dir) -> DataFrame:
-    gates = {"grounding": F.contains(F.lower("text"), F.lit("the")), "length": F.length("text") >= 80, "severity": F.col("severity") != ""}
-    return R.compliance(views.records(spark, sf_dir), gates)
-
-
 @query("l16_hybrid_score", f"WITH {RECORDS_SQL} SELECT record_id, 0.45 * total_score + 0.45 * completeness + 0.10 * agreement AS hybrid FROM audit_records", rounded=("hybrid",))
 def l16(spark, sf_dir) -> DataFrame:
     return views.records(spark, sf_dir).select("record_id", R.hybrid(F.col("total_score"), F.col("completeness"), F.col("agreement")).alias("hybrid"))
@@ -174,7 +163,7 @@ def _results(spark, sf_dir) -> DataFrame:
     third = F.floor((F.length("text") + 2) / 3).cast("int")
     part = lambda k: F.substr(F.col("text"), third * k + 1, third)
     result = F.struct(F.col("attribute"), F.col("severity"), part(0).alias("what_is_wrong"), part(1).alias("why_is_wrong"), part(2).alias("how_to_fix"), F.split("text", r"\. ").alias("supporting_research"))
-    return views.records(spark, sf_dir).select("record_id", "dataset", "attribute", "cycle", "text", "severity", result.alias("result"))
+    return views.records(spark, sf_dir).select("record_id", "dataset", "attribute", "cycle", "text", "severity", "total_score", result.alias("result"))
 
 
 _PARTS = f"""{RECORDS_SQL}, p AS (SELECT record_id, dataset, attribute, cycle, text, severity, substr(text, 1, (length(text) + 2) // 3) AS w1, substr(text, (length(text) + 2) // 3 + 1, (length(text) + 2) // 3) AS w2, substr(text, 2 * ((length(text) + 2) // 3) + 1) AS w3, string_split(text, '. ') AS src FROM audit_records),
@@ -197,7 +186,13 @@ def l01(spark, sf_dir) -> DataFrame:
     return _results(spark, sf_dir).select("record_id", R.completeness(F.col("result")).alias("points"))
 
 
-@query("l06_total_scores")
+_ONE = "(CASE WHEN attribute <> '' THEN 4 ELSE 0 END + CASE WHEN length(w1) >= 100 THEN 8 ELSE 0 END + CASE WHEN w1 <> '' AND w2 <> '' AND w3 <> '' AND severity <> '' THEN 8 ELSE 0 END + CASE WHEN length(w2) >= 100 THEN 5 ELSE 0 END + CASE WHEN len(src) >= 2 THEN 5 ELSE 0 END)"
+_NAMED = " OR ".join(f"contains(replace(replace(lower(w3), '-', ''), '_', ''), '{x}')" for x in R.ALGORITHMS)
+
+
+@query("l06_total_scores", f"""WITH {_PARTS}, {_BASE}, s AS (SELECT record_id, least(40.0::DOUBLE, {_ONE} + 10.0) AS completeness, CASE WHEN {_SEV} = coalesce({_NORM.format("baseline")}, 'UNKNOWN') THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END AS severity_agreement,
+CASE WHEN baseline IS NULL THEN 10.0 ELSE 15.0 * (contains(lower(w2), 'representation bias')::INT + contains(lower(w2), 'the')::INT) / 2 END::DOUBLE AS cause_alignment, CASE WHEN {_NAMED} THEN 15.0::DOUBLE ELSE 0.0::DOUBLE END AS mitigation, CASE WHEN len(src) >= 1 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS grounding
+FROM p LEFT JOIN base USING (dataset, attribute)) SELECT *, completeness + severity_agreement + cause_alignment + mitigation + grounding AS total FROM s""")
 def l06(spark, sf_dir) -> DataFrame:
     """Subscores L1-L5 and their total for each record."""
     base = _base(spark, sf_dir).select("dataset", "attribute", F.col("baseline").alias("severity"), F.array(F.lit("representation_bias"), F.lit("the")).alias("labels"))
@@ -342,17 +337,6 @@ def x13(spark, sf_dir) -> DataFrame:
     return R.sections(views.records(spark, sf_dir).select("record_id", page.alias("page")), "record_id", "page")
 
 
-@query("x19_query_selection", "SELECT doc_id, unnest(list_filter([CASE WHEN lang = 'en' THEN 'english fairness' END, CASE WHEN n_chars > 2000 THEN 'long text bias' END, 'algorithmic audit'], lambda x: x IS NOT NULL)) AS query FROM documents")
-def x19(spark, sf_dir) -> DataFrame:
-    rules = F.array_compact(F.array(F.when(F.col("lang") == "en", F.lit("english fairness")), F.when(F.col("n_chars") > 2000, F.lit("long text bias")), F.lit("algorithmic audit")))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(rules).alias("query"))
-
-
-@query("x20_context_payload")
-def x20(spark, sf_dir) -> DataFrame:
-    return R.context_payload(audits.a07(spark, sf_dir), audits.a12(spark, sf_dir)).select("attribute", "payload")
-
-
 @query("x21_numeric_leaves", f"WITH m AS ({audits.ORACLE_SQL['a07_attribute_metrics']}), b AS ({audits.ORACLE_SQL['a12_group_breakdown']}), u AS (SELECT attribute, di AS v FROM m UNION ALL SELECT attribute, dpd FROM m UNION ALL SELECT attribute, eod FROM m UNION ALL SELECT attribute, aod FROM m UNION ALL SELECT attribute, n FROM b UNION ALL SELECT attribute, selection_rate FROM b) SELECT attribute, v AS value FROM u WHERE v IS NOT NULL")
 def x21(spark, sf_dir) -> DataFrame:
     rows = R.context_payload(audits.a07(spark, sf_dir), audits.a12(spark, sf_dir))
@@ -383,25 +367,6 @@ def x09(spark, sf_dir) -> DataFrame:
     return audits.a07(spark, sf_dir).select("attribute", F.coalesce(F.format_string("%.4f", "di"), F.lit("--")).alias("di"))
 
 
-@query("l11_guardrail_gates", f"WITH {_PARTS} SELECT dataset, cycle, bool_and(length(w1) >= 40) AS g1, bool_and(severity <> '') AS g2, count(*) FILTER (NOT contains(lower(w2), 'the')) AS g3_violations FROM p GROUP BY 1, 2")
-def l11(spark, sf_dir) -> DataFrame:
-    r = F.col("result")
-    return _results(spark, sf_dir).groupBy("dataset", "cycle").agg(F.every(F.length(r["what_is_wrong"]) >= 40).alias("g1"), F.every(r["severity"] != "").alias("g2"), F.count_if(~F.contains(F.lower(r["why_is_wrong"]), F.lit("the"))).alias("g3_violations"))
-
-
-@query("l12_criteria", f"WITH {RECORDS_SQL} SELECT record_id, (contains(lower(text), 'and')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'les')::INT) >= 2 AS h1, regexp_matches(text, '\\d+ ?%|\\d+\\.\\d+') AND length(text) > 80 AS h4 FROM audit_records")
-def l12(spark, sf_dir) -> DataFrame:
-    low = F.lower("text")
-    hits = sum((F.contains(low, F.lit(w)).cast("int") for w in ("and", "the", "les")), F.lit(0))
-    return views.records(spark, sf_dir).select("record_id", (hits >= 2).alias("h1"), (F.col("text").rlike(r"\d+ ?%|\d+\.\d+") & (F.length("text") > 80)).alias("h4"))
-
-
-@query("l14_gate_counts", f"WITH {_PARTS} SELECT dataset, count(*) FILTER (length(w1) >= 40) AS long_enough, count(*) FILTER (severity <> '') AS with_severity FROM p GROUP BY 1")
-def l14(spark, sf_dir) -> DataFrame:
-    r = F.col("result")
-    return _results(spark, sf_dir).groupBy("dataset").agg(F.count_if(F.length(r["what_is_wrong"]) >= 40).alias("long_enough"), F.count_if(r["severity"] != "").alias("with_severity"))
-
-
 @query("l26_bibliography_checks", """WITH e AS (SELECT 'k' || (doc_id // 3) AS key, CASE doc_id % 2 WHEN 0 THEN 'article' ELSE 'book' END AS type, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 1, 20) END AS title, CASE WHEN doc_id % 7 = 0 THEN 'TODO year' ELSE source END AS year FROM documents)
 SELECT key, 'duplicate key' AS problem FROM e GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT key, 'missing title' FROM e WHERE trim(coalesce(title, '')) = '' UNION ALL SELECT key, 'missing publisher' FROM e WHERE type = 'book' UNION ALL SELECT key, 'placeholder' FROM e WHERE regexp_matches(coalesce(title, ''), '(?i)\\b(todo|tbd|xxx|placeholder)\\b') OR regexp_matches(year, '(?i)\\b(todo|tbd|xxx|placeholder)\\b')""")
 def l26(spark, sf_dir) -> DataFrame:
@@ -409,5 +374,3 @@ def l26(spark, sf_dir) -> DataFrame:
     fields = F.map_from_arrays(F.array(F.lit("title"), F.lit("year")), F.array(F.coalesce(F.when(i % 5 != 0, F.substring("text", 1, 20)), F.lit("")), F.when(i % 7 == 0, "TODO year").otherwise(F.col("source"))))
     entries = d.select(F.concat(F.lit("k"), F.floor(i / 3).cast("string")).alias("key"), F.when(i % 2 == 0, "article").otherwise("book").alias("type"), fields.alias("fields"))
     return evidence.bibliography_problems(entries, {"article": ["title"], "book": ["title", "publisher"]})
-
-

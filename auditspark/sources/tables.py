@@ -45,9 +45,9 @@ RECORD = (
 )
 
 
-def read_records(spark: SparkSession, glob: str) -> DataFrame:
-    """Audit records, one JSON document a file, with the file they came from; unreadable files are left out."""
-    rows = spark.read.schema(RECORD).option("multiLine", True).option("mode", "PERMISSIVE").json(glob)
+def read_records(spark: SparkSession, glob: str, one_a_file: bool = True) -> DataFrame:
+    """Audit records, one JSON document a file (or one a line), with the file they came from; unreadable ones are left out."""
+    rows = spark.read.schema(RECORD).option("multiLine", one_a_file).option("mode", "PERMISSIVE").json(glob)
     rows = rows.select("*", F.col("_metadata.file_path").alias("file"))
     return rows.where("_corrupt_record IS NULL AND dataset IS NOT NULL").drop("_corrupt_record")
 
