@@ -19,10 +19,12 @@ ROWS_PER_BATCH, ARROW_ROWS = 512, 2000
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names no such folder (as in tests) one is made and set.
+    Only in local mode, as in tests, one is made and set where the session names none.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

@@ -4,6 +4,7 @@ A document is cut where the splitting pattern must cut (at a single space betwee
 ``LEAF_WORDS`` words to a leaf; the tree holds the sums of characters and tokens below each node. An edit descends by
 character sums to the leaves it touches, takes in a neighbouring leaf where the text around its border no longer forces
 a cut, encodes that region only, and updates the sums on the way up. The count is always that of encoding the whole text.
+Trees are a table (``planted``): a batch of edits reads it and gives the next one (``updated``), and encodes edited regions only.
 
 Cases: a null text counts as empty (no tokens); null or no edits change nothing, nor does an edit whose start or end is
 null; a null replacement removes; edits are (start, end, replacement) in
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.llm.byte_tokens import ByteTokens, byte_tokens
-from auditspark.llm.shared import slices, small_batches, tokenizer_path
+from auditspark.llm.shared import slices, small_batches, tokenizer_path, written
 
 #: Words a leaf.
 LEAF_WORDS = 32
@@ -31,24 +32,38 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class CountTree:
-    """Segment tree over the leaves of one text."""
+    """Segment tree over the leaves of one text: ``chars`` and ``tokens`` hold the sums below each node, the root at 1."""
 
     def __init__(self, text: str, tokens: ByteTokens, leaf_words: int = LEAF_WORDS):
-        self.count = lambda t: len(tokens.encode([t])[0]) // 4
         cuts = [m.start() for m in _CUT.finditer(text)][leaf_words - 1 :: leaf_words]
-        self.leaves = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        self.base = 1 << (len(self.leaves) - 1).bit_length()
+        leaves = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
         # A leaf after a cut starts with a space; without it, its first word would be encoded as at a text's start.
-        counts = [len(x) // 4 for x in tokens.encode([self.leaves[0], *("x" + leaf for leaf in self.leaves[1:])])]
-        self.tokens = [0] * (2 * self.base)
-        self.chars = [0] * (2 * self.base)
-        self.encoded = 0
-        for k, leaf in enumerate(self.leaves):
+        counts = [len(x) // 4 for x in tokens.encode([leaves[0], *("x" + leaf for leaf in leaves[1:])])]
+        self._start(leaves, tokens)
+        for k, leaf in enumerate(leaves):
             self.tokens[self.base + k] = counts[k] - (k > 0)  # "x" is a token of its own before a space
             self.chars[self.base + k] = len(leaf)
         for k in range(self.base - 1, 0, -1):
             self._sum(k)
 
+    def _start(self, leaves: list[str], tokens: ByteTokens) -> None:
+        self.leaves, self.encoded = leaves, 0
+        self.count = lambda t: len(tokens.encode([t])[0]) // 4
+        self.base = 1 << (len(leaves) - 1).bit_length()
+        self.tokens = [0] * (2 * self.base)
+        self.chars = [0] * (2 * self.base)
+
+    @classmethod
+    def stored(cls, text: str, chars: list[int], sums: list[int], tokens: ByteTokens) -> CountTree:
+        """The tree with these sums over a text; nothing is encoded."""
+        tree, base, at, leaves = cls.__new__(cls), len(chars) // 2, 0, []
+        for n in chars[base:]:
+            leaves.append(text[at : at + n])
+            at += n
+        tree._start(leaves, tokens)
+        tree.chars, tree.tokens = list(chars), list(sums)
+        return tree
+
     def _sum(self, k: int) -> None:
         self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -106,42 +121,92 @@ class CountTree:
         return "".join(self.leaves)
 
 
-def applied(text: str, edits: list[tuple[int, int, str]], tokens: ByteTokens) -> tuple[int, int, int, int]:
-    """(tokens before, edits applied, tokens after, characters encoded anew)."""
-    tree = CountTree(text, tokens)
-    before, kept, at = tree.total, [], 0
+def kept_edits(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Edits in order of place, without those that start inside an earlier one."""
+    kept, at = [], 0
     for start, end, new in sorted(edits, key=lambda e: (e[0], e[1])):
         if start >= at or not kept:
             kept.append((max(0, start), max(start, end, 0), new))
             at = max(start, end)
+    return kept
+
+
+def applied(tree: CountTree, edits: list[tuple[int, int, str]]) -> int:
+    """Applies a batch of edits, the last place first; how many there were."""
+    kept = kept_edits(edits)
     for start, end, new in reversed(kept):
         tree.replace(start, end, new)
-    return before, len(kept), tree.total, tree.encoded
+    return len(kept)
 
 
-def recounted(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
-    """(id, n_tokens, n_edits, n_tokens_after, encoded_chars).
+TREE = {"text": pa.string(), "chars": pa.list_(pa.int32()), "tokens": pa.list_(pa.int32())}
+COUNTS = ("n_tokens", "n_edits", "n_tokens_after", "encoded_chars")
+
+
+EDITS = "array<struct<start:int,end:int,new:string>>"
+
 
-    ``edits_col`` is an array of structs (start int, end int, new string); without it the scrubbing edits are applied.
+def planted(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """(id, text, chars, tokens, edits): each document with the sums of its tree, to be kept as a table between edits.
+
+    A first batch of edits may come with the documents (``edits_col``); later ones are joined to the table by id (rows
+    without id then keep their text).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = byte_tokens(vocabulary)
         for b in slices(batches):
-            out = []
-            for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                changes = [(m.start(), m.end(), f"<{m.lastgroup}>") for m in SCRUBBED.finditer(text)] if edits_col is None else [(e["start"], e["end"], e["new"] or "") for e in edits or () if e and e["start"] is not None and e["end"] is not None]
-                out.append(applied(text, changes, own))
-            cols = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n_tokens", "n_edits", "n_tokens_after", "encoded_chars"])
+            trees = [CountTree(text, own) for text in b.column(1).to_pylist()]
+            sums = (pa.array([getattr(t, x) for t in trees], TREE[x]) for x in ("chars", "tokens"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sums, b.column(2)], names=["id", *TREE, "edits"])
 
     small_batches(df.sparkSession)
-    edits = df[edits_col] if edits_col else F.lit(None).cast("array<struct<start:int,end:int,new:string>>")
-    rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), edits.alias("edits"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_edits long, n_tokens_after long, encoded_chars long")
+    edits = df[edits_col] if edits_col else F.lit(None)
+    rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), edits.cast(EDITS).alias("edits"))
+    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, chars array<int>, tokens array<int>, edits {EDITS}")
+    return out.withColumnRenamed("id", id_col)
+
+
+def updated(trees: DataFrame, vocabulary: str, id_col: str = "doc_id", edits_col: str | None = None, keep_trees: bool = True) -> DataFrame:
+    """(id, text, chars, tokens, n_tokens, n_edits, n_tokens_after, encoded_chars) of ``planted`` rows after a batch of edits.
+
+    The result is again a table of trees, for the next batch; without ``keep_trees`` it has the counts only. ``edits_col``
+    is an array of structs (start int, end int, new string); without it the scrubbing edits are applied.
+    """
+
+    def changes(text: str, edits: list[dict] | None) -> list[tuple[int, int, str]]:
+        if edits_col is None:
+            return [(m.start(), m.end(), f"<{m.lastgroup}>") for m in SCRUBBED.finditer(text)]
+        return [(e["start"], e["end"], e["new"] or "") for e in edits or () if e and e["start"] is not None and e["end"] is not None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = byte_tokens(vocabulary)
+        for b in slices(batches):
+            counts, after = [], []
+            for text, chars, sums, edits in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                tree = CountTree.stored(text, chars, sums, own)
+                before = tree.total
+                counts.append((before, applied(tree, changes(text, edits)), tree.total, tree.encoded))
+                if keep_trees:
+                    after.append((tree.text(), tree.chars, tree.tokens))
+            new = [pa.array(c, t) for c, t in zip(zip(*after, strict=True), TREE.values(), strict=True)] if keep_trees else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *new, *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True))], names=["id", *(TREE if keep_trees else ()), *COUNTS])
+
+    small_batches(trees.sparkSession)
+    edits = trees[edits_col] if edits_col else F.lit(None)
+    rows = trees.select(trees[id_col].alias("id"), "text", "chars", "tokens", edits.cast(EDITS).alias("edits"))
+    kept = "text string, chars array<int>, tokens array<int>, " if keep_trees else ""
+    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {kept}{', '.join(f'{c} long' for c in COUNTS)}")
     return out.withColumnRenamed("id", id_col)
 
 
+def recounted(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """(id, n_tokens, n_edits, n_tokens_after, encoded_chars) of one batch of edits, with no table of trees in between."""
+    return updated(planted(df, vocabulary, id_col, text_col, edits_col), vocabulary, id_col, edits_col and "edits", keep_trees=False)
+
+
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after scrubbing, by incremental recounts."""
-    return recounted(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"))
+    """Token counts of every document before and after scrubbing, by incremental recounts of stored trees."""
+    vocabulary = tokenizer_path("byte_bpe_50k.json")
+    trees = written(planted(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary).drop("edits"), "count-trees")
+    return updated(trees, vocabulary, keep_trees=False)
