@@ -68,17 +68,18 @@ class ByteTokens:
             known.update(zip(new[at:to], [ids[a + 1 : b].tobytes() for a, b in zip(cuts, cuts[1:])], strict=True))
             at = to
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit bytes."""
+    def encode(self, texts: list[str], spaced: bool = False) -> list[bytes]:
+        """The ids of each text (with a space in front of it, if ``spaced``) as little-endian unsigned 32-bit bytes."""
         lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        self._learn({line[0] for text in lines for line in text}, self.first, "")
-        self._learn(set(chain.from_iterable(line[1:] for text in lines for line in text)), self.later, " ")
-        first, later, out = self.first, self.later.__getitem__, []
-        for text, split in zip(texts, lines, strict=True):
+        self._learn({line[0] for text in lines for line in text[spaced:]}, self.first, "")
+        self._learn({*chain.from_iterable(line[1:] for text in lines for line in text), *(text[0][0] for text in lines if spaced)}, self.later, " ")
+        first, later, out = self.first.__getitem__, self.later.__getitem__, []
+        for text, (top, *split) in zip(texts, lines, strict=True):
             try:
-                out.append(self.line_end.join([first[line[0]] + b"".join(map(later, line[1:])) for line in split]))
+                rows = [(later if spaced else first)(top[0]) + b"".join(map(later, top[1:]))]
+                out.append(self.line_end.join(rows + [first(line[0]) + b"".join(map(later, line[1:])) for line in split]))
             except KeyError:
-                out.append(self._whole(text))
+                out.append(self._whole(" " * spaced + text))
         return out
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from auditspark.llm import exact_dedup, importance, language_id, media_columns, near_dedup, neighbours, packing, piece_codec, token_counts, toxicity, url_rules, warc_bundles
+from auditspark.llm import alignment, exact_dedup, importance, language_id, media_columns, near_dedup, neighbours, packing, piece_codec, token_counts, toxicity, url_rules, warc_bundles
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_packing": packing.op10_packing,
+    "op11_alignment": alignment.op11_alignment,
     "op12_neighbours": neighbours.op12_neighbours,
     "op13_importance": importance.op13_importance,
     "pipeline": corpus_pipeline.run,
