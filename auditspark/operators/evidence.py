@@ -6,30 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.scalars import shortened, title_tokens
+from auditspark.operators import setjoin
 
 
 def similar_titles(left: DataFrame, right: DataFrame, least: float = 0.72) -> DataFrame:
     """Pairs (a, b, similarity) of titles (id, title) whose shared tokens make up ``least`` of the shorter one.
 
-    By prefix filtering: of a title with n tokens a partner shares at least ``least`` of the shorter one's, so one of its
-    rarest tokens is among those of the pair that lie in either prefix. Tokens are ordered by frequency, so common words
-    are no keys unless a title has nothing rarer, and no token is dropped.
+    Titles with equal tokens are one set in the join (see ``setjoin``), which finds pairs of sets; ids come back last.
     """
-    tok = lambda df, x: df.select(F.col("id").alias(x), title_tokens(F.col("title")).alias("t")).where(F.size("t") > 0)
-    l, r = tok(left, "a"), tok(right, "b")  # noqa: E741
-    freq = l.select(F.explode("t").alias("w")).unionAll(r.select(F.explode("t").alias("w"))).groupBy("w").agg(F.count("*").alias("f"))
-
-    def keys(df: DataFrame, x: str) -> DataFrame:
-        by = df.select(x, "t", F.explode("t").alias("w")).join(freq, "w")
-        rank = F.row_number().over(Window.partitionBy(x).orderBy("f", "w"))
-        # The shorter title of a pair has at most this one's tokens; it may lack 28 % of its own. The longer one may hold
-        # all shared tokens behind its rare ones, so it is entered in full and only the shorter one by its prefix.
-        n = F.size("t")
-        return by.withColumn("k", rank).select(x, "w", n.alias(f"n_{x}"), F.col("t").alias(f"t_{x}"), (F.col("k") <= n - F.ceil(least * n - 1e-9) + 1).alias(f"prefix_{x}"))
-
-    pairs = keys(l, "a").join(keys(r, "b"), "w").where((F.col("prefix_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("prefix_b") & (F.col("n_b") <= F.col("n_a"))))
-    shared = F.size(F.array_intersect("t_a", "t_b")) / F.least("n_a", "n_b")
-    return pairs.select("a", "b", shared.alias("similarity")).where(F.col("similarity") >= least).distinct()
+    l, r = (setjoin.token_sets(df, title_tokens(F.col("title"))) for df in (left, right))  # noqa: E741
+    pairs = setjoin.similar_sets(l, r, least)
+    ids = lambda df, x, k: df.select(F.col("id").alias(x), F.col("set").alias(k))
+    return pairs.join(ids(l, "a", "l"), "l").join(ids(r, "b", "r"), "r").select("a", "b", "similarity")
 
 
 def html_title(html: Column) -> Column:
