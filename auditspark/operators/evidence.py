@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.scalars import shortened, title_tokens
-from auditspark.operators import setjoin
+from auditspark.operators import grams, setjoin
 
 
 def similar_titles(left: DataFrame, right: DataFrame, least: float = 0.72) -> DataFrame:
@@ -47,16 +47,12 @@ def citation_line(authors: Column, year: Column, venue: Column, citations: Colum
 def verified_citations(references: DataFrame, evidence: DataFrame, least_chars: int = 4) -> DataFrame:
     """References (id, reference) with ``verified``: they contain a key (author surname or title start) of the evidence.
 
-    Keys are matched by a word of theirs: an equi-join on it, then the whole key is looked up in the text. A key of three
-    words or more goes by the longest one between its first and its last, which the text must hold as a whole word, so
-    the key may start and end inside words of the text; shorter keys must start at the start of a word.
+    Case doesn't matter; a key may be any letters of any script and begin and end inside words. Keys of fewer than
+    ``least_chars`` characters aren't looked for. See ``grams`` for the search; a reference's text is read where it lies.
     """
-    words = references.select("id", "reference", F.explode(F.array_distinct(F.split(F.lower("reference"), "[^a-z0-9]+"))).alias("w")).where("w <> ''")
-    keys = evidence.select(F.lower("key").alias("key")).distinct().where(F.length("key") >= least_chars).withColumn("words", F.filter(F.split("key", "[^a-z0-9]+"), lambda x: x != "")).where(F.size("words") > 0)
-    inner = F.array_max(F.transform(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(1))), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    keys = keys.select("key", F.when(F.size("words") > 2, inner).otherwise(F.col("words")[0]).alias("w"))
-    hit = words.join(keys, "w").where(F.contains(F.lower("reference"), F.col("key"))).select("id").distinct().withColumn("hit", F.lit(True))
-    return references.join(hit, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("verified"))
+    keys = evidence.select(F.lower("key").alias("key")).where(F.length("key") >= max(1, least_chars)).distinct()
+    hit = grams.holding(references.select("id", F.lower("reference").alias("text")), keys).withColumn("hit", F.lit(True))
+    return references.select("id").join(hit, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("verified"))
 
 
 def bibliography_problems(entries: DataFrame, required: dict[str, list[str]]) -> DataFrame:
