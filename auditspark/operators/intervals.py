@@ -31,6 +31,16 @@ def with_reference(cells: DataFrame, convention: str, by: Sequence[str] = (), ra
     return cells.withColumn("ref", F.min(order).over(w)).withColumns({"ref_cell": F.col("ref.c"), "ref_rate": F.col("ref.rate"), "ref_k": F.col("ref.k"), "ref_n": F.col("ref.n")}).drop("ref")
 
 
+def with_references(cells: DataFrame, by: Sequence[str], rate: str = "rate", floor: int = 15, control: str | None = None) -> DataFrame:
+    """As ``with_reference`` for rows that name their convention (a column of ``by``), all in one window."""
+    w, c = Window.partitionBy(*by), F.col
+    eligible = F.when(c("convention") == "control", c("cell").eqNullSafe(F.lit(control))).when(c("convention") == "max_rate", c("n") >= 1).otherwise(c("n") >= floor)
+    cells = cells.withColumn("some", F.max(eligible.cast("int")).over(w) == 1)
+    eligible = F.when((c("convention") == "max_rate_floor15") & ~c("some"), c("n") >= 1).otherwise(eligible)
+    order = F.when(eligible, F.struct((-c(rate)).alias("r"), c("cell").alias("c"), c(rate).alias("rate"), c("k").alias("k"), c("n").alias("n")))
+    return cells.withColumn("ref", F.min(order).over(w)).withColumns({"ref_cell": c("ref.c"), "ref_rate": c("ref.rate"), "ref_k": c("ref.k"), "ref_n": c("ref.n")}).drop("ref", "some")
+
+
 def di_intervals(cells: DataFrame, floor: int = 15) -> DataFrame:
     """DI against the reference with conservative bounds lo / ref_hi and hi / ref_lo, and what they decide.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.scalars import ratio
+from auditspark.operators import running
+from auditspark.sources.workspace import written
 
 
 def feature_statistics(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -94,40 +97,54 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), positive: int
 
 
 def score_counts(df: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """(score, pos, neg): labels by distinct score, by partial sums."""
-    return df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col("actual") == 1).cast("double").alias("pos"), F.count_if(F.col("actual") != 1).cast("double").alias("neg"))
+    """(score, pos, neg): labels by distinct score, by partial sums; written once, since several passes read it."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col("actual") == 1).cast("double").alias("pos"), F.count_if(F.col("actual") != 1).cast("double").alias("neg"))
+    return written(counts, "score-counts")
 
 
-def _running(counts: DataFrame, columns: Sequence[str], parts: int = 64, by: Sequence[str] = ()) -> DataFrame:
-    """Running sums by falling score without a single-task window: score ranges, their totals, sums inside each.
+def _ranges(counts: DataFrame, columns: Sequence[str], parts: int, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The counts with the score range (``part``) of each, and for each range its sums t_, those of higher scores o_ and of all a_.
 
-    The ranges' bounds are approximate quantiles in one row (one for each ``by``, few names), their totals one row a range,
-    so both are small at any size.
+    The ranges' bounds are approximate quantiles (of each ``by``, few names), their totals one row a range, so both are
+    small at any size. ``counts`` should lie in a table. Part 0 has the highest scores.
     """
-    bounds = counts.groupBy(*by).agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 1000).alias("bounds"))
-    part = F.size(F.filter(F.coalesce("bounds", F.array().cast(counts.select(F.array("score")).dtypes[0][1])), lambda x: x > F.col("score")))
-    spread = counts.join(F.broadcast(bounds), list(by)) if by else counts.crossJoin(F.broadcast(bounds))
-    spread = spread.withColumn("part", part).drop("bounds")
-    inside = Window.partitionBy(*by, "part").orderBy(F.desc("score"))
+    part = None
+    for key, bounds in running.quantiles(counts, "score", parts, by).items():
+        own = F.lit(len(bounds)) - running.ranges(F.col("score"), bounds)
+        if by:
+            here = functools.reduce(Column.__and__, [F.col(b) == k for b, k in zip(by, key, strict=True)])
+            own = F.when(here, own) if part is None else part.when(here, own)
+        part = own
+    spread = counts.withColumn("part", F.lit(0) if part is None else part)
     totals = spread.groupBy(*by, "part").agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
-    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "part", *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0.0)).alias(f"o_{c}") for c in columns])
-    return spread.join(F.broadcast(offsets), [*by, "part"]).withColumns({f"cum_{c}": F.col(f"o_{c}") + F.sum(c).over(inside) for c in columns}).drop("part", *[f"o_{c}" for c in columns])
+    every = Window.partitionBy(*(by or [F.lit(0)]))
+    before = every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    more = [x for c in columns for x in (F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0.0)).alias(f"o_{c}"), F.sum(f"t_{c}").over(every).alias(f"a_{c}"))]
+    return spread, totals.select(*by, "part", *[f"t_{c}" for c in columns], *more)
+
+
+def _running(spread: DataFrame, offsets: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Running sums cum_ by falling score without a single-task window: inside the ranges of ``offsets``, which are few rows."""
+    inside = Window.partitionBy(*by, "part").orderBy(F.desc("score"))
+    rows = spread.join(F.broadcast(offsets), [*by, "part"]).withColumns({f"cum_{c}": F.col(f"o_{c}") + F.sum(c).over(inside) for c in columns})
+    return rows.drop("part", *[f"{x}_{c}" for c in columns for x in "ot"])
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """One row: for each column an array of its exact quantiles (nulls left out), interpolated between neighbours.
 
-    Values are counted by partial sums, running counts go by value ranges, and only the values at the wanted ranks are
-    kept, so no task sees all distinct values.
+    Values are counted by partial sums and the counts written; of the value ranges only those that hold a wanted rank are
+    sorted, so no task sees all distinct values and most of them aren't looked at again.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("score")) for c in columns]))
     counts = df.select(cells.alias("x")).select("x.*").where("score IS NOT NULL").groupBy("column", "score").agg(F.count("*").cast("double").alias("n"))
-    rows = counts.groupBy("column").agg(F.sum("n").alias("rows"))
-    places = _running(counts, ["n"], 256, ["column"]).join(F.broadcast(rows), "column").withColumn("first", F.col("rows") - F.col("cum_n"))
+    spread, offsets = _ranges(written(counts, "value-counts"), ["n"], 64, ["column"])
+    ranks = [f((F.col("a_n") - 1) * share) for share in shares for f in (F.floor, F.ceil)]
+    holds = [(F.col("a_n") - F.col("o_n") - F.col("t_n") <= r) & (r < F.col("a_n") - F.col("o_n")) for r in ranks]
+    places = _running(spread, offsets.where(functools.reduce(Column.__or__, holds)), ["n"], ["column"]).withColumn("first", F.col("a_n") - F.col("cum_n"))
     values = []
     for share in shares:
-        at = (F.col("rows") - 1) * share
+        at = (F.col("a_n") - 1) * share
         on = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("score")))
         values.append(on(F.floor(at)) + (on(F.ceil(at)) - on(F.floor(at))) * F.max(at - F.floor(at)))
     found = places.groupBy("column").agg(F.array(*values).alias("values"))
@@ -142,9 +159,9 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def roc_curve(df: DataFrame, score: str = "score") -> DataFrame:
     """(score, tpr, fpr) at every distinct score."""
-    counts = score_counts(df, score)
-    total = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return _running(counts, ["pos", "neg"]).crossJoin(F.broadcast(total)).select("score", "pos", "neg", ratio(F.col("cum_pos"), F.col("all_pos")).alias("tpr"), ratio(F.col("cum_neg"), F.col("all_neg")).alias("fpr"), "cum_pos", "cum_neg", "all_pos", "all_neg")
+    spread, offsets = _ranges(score_counts(df, score), ["pos", "neg"], 64)
+    rows = _running(spread, offsets, ["pos", "neg"]).withColumnsRenamed({"a_pos": "all_pos", "a_neg": "all_neg"})
+    return rows.select("score", "pos", "neg", ratio(F.col("cum_pos"), F.col("all_pos")).alias("tpr"), ratio(F.col("cum_neg"), F.col("all_neg")).alias("fpr"), "cum_pos", "cum_neg", "all_pos", "all_neg")
 
 
 def auc(df: DataFrame, score: str = "score") -> DataFrame:

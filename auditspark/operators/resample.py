@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.scalars import ratio, wilson
-from auditspark.operators.intervals import eb_shrunk, with_reference
+from auditspark.operators.intervals import eb_shrunk, with_reference, with_references
 from auditspark.operators.split import DIGITS
+from auditspark.sources.workspace import written
 
 POLICIES = ("floor15", "floor30", "point", "wilson", "eb")
 #: Most cells of a study: their table goes to every task.
@@ -67,6 +68,36 @@ def hash_draws(rows: DataFrame, sizes: Sequence[int], draws: int) -> DataFrame:
     return grid.join(seen, ["m", "draw", "cell"], "left").select("m", "draw", "cell", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def draw_totals(draws: DataFrame, cells: DataFrame) -> DataFrame:
+    """(m, draw, rows, cells, possible): what every draw must satisfy exactly. ``cells`` has one row a cell."""
+    own = cells.select("cell", F.col("k").alias("all_k"), F.col("n").alias("all_n"))
+    fits = (F.col("k") >= 0) & (F.col("k") <= F.col("all_k")) & (F.col("n") - F.col("k") >= 0) & (F.col("n") - F.col("k") <= F.col("all_n") - F.col("all_k"))
+    return draws.join(F.broadcast(own), "cell").groupBy("m", "draw").agg(F.sum("n").alias("rows"), F.count("*").alias("cells"), F.bool_and(fits).alias("possible"))
+
+
+def draw_moments(draws: DataFrame, cells: DataFrame, errors: float = 6.0) -> DataFrame:
+    """(m, cell, n_mean, k_mean, n_variance, k_variance, covariance): whether the draws' moments fit sampling without replacement.
+
+    A mean may miss the expected one by ``errors`` standard errors; a variance, or the covariance of n and k, by ``errors``
+    times the error that variances of so many nearly normal draws have (and of few counts: at least 1 % of a row).
+    """
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    own = cells.select("cell", F.col("k").alias("all_k"), F.col("n").alias("all_n"), total.alias("total"))
+    seen = draws.groupBy("m", "cell").agg(F.count("*").alias("draws"), F.avg("n").alias("n"), F.avg("k").alias("k"), F.var_pop("n").alias("vn"), F.var_pop("k").alias("vk"), F.covar_pop("n", "k").alias("c"))
+    rows = seen.join(F.broadcast(own), "cell").withColumn("s", F.least(F.col("m"), F.col("total")).cast("double"))
+    c, m = F.col, F.col("s")
+    pn, pk = c("all_n") / c("total"), c("all_k") / c("total")
+    left = ratio(c("total") - m, c("total") - 1)
+    want_vn, want_vk, want_c = m * pn * (1 - pn) * left, m * pk * (1 - pk) * left, m * pk * (1 - pn) * left
+    near = lambda got, want, error: F.abs(got - want) <= errors * error + 1e-9
+    mean = lambda variance: F.sqrt(variance / c("draws"))
+    spread = lambda x, y: F.sqrt(2 * x * y / c("draws")) + 0.01
+    return rows.select(
+        "m", "cell", near(c("n"), m * pn, mean(want_vn)).alias("n_mean"), near(c("k"), m * pk, mean(want_vk)).alias("k_mean"),
+        near(c("vn"), want_vn, spread(want_vn, want_vn)).alias("n_variance"), near(c("vk"), want_vk, spread(want_vk, want_vk)).alias("k_variance"), near(c("c"), want_c, spread(want_vn, want_vk)).alias("covariance"),
+    )
+
+
 def population_truth(cells: DataFrame, conventions: Sequence[str], control: str | None = None) -> DataFrame:
     """(convention, cell, theta, is_ref, violating, is_worst): the DI of each cell in the whole population, to 4 digits."""
     out = None
@@ -80,14 +111,15 @@ def population_truth(cells: DataFrame, conventions: Sequence[str], control: str
 
 
 def assertions(draws: DataFrame, conventions: Sequence[str], control: str | None = None) -> DataFrame:
-    """One row for each (m, draw, cell, convention, policy): reported, di, clear, violate, asserted, bounds, is_sample_ref."""
+    """One row for each (m, draw, cell, convention, policy): reported, di, clear, violate, asserted, bounds, is_sample_ref.
+
+    The draws are written once; conventions and kinds of rates are rows of one table, so that windows run once for all.
+    """
     keys = ["m", "draw"]
-    base = eb_shrunk(draws, keys).withColumn("point", ratio(F.col("k"), F.col("n")))
-    out = None
-    for source, policies in (("point", POLICIES[:4]), ("shrunk", POLICIES[4:])):
-        for c in conventions:
-            one = with_reference(base, c, keys, rate=source, control=control).withColumns({"convention": F.lit(c), "est": F.col(source), "policy": F.explode(F.array(*map(F.lit, policies)))})
-            out = one if out is None else out.unionByName(one)
+    base = eb_shrunk(written(draws, "draws"), keys).withColumn("point", ratio(F.col("k"), F.col("n")))
+    kinds = [F.struct(F.lit(c).alias("convention"), F.lit(x).alias("source"), F.array(*map(F.lit, p)).alias("policies")) for x, p in (("point", POLICIES[:4]), ("shrunk", POLICIES[4:])) for c in conventions]
+    rows = base.select("*", F.inline(F.array(*kinds))).withColumn("est", F.when(F.col("source") == "point", F.col("point")).otherwise(F.col("shrunk")))
+    out = with_references(rows, [*keys, "convention", "source"], "est", control=control).withColumn("policy", F.explode("policies")).drop("policies")
     lo, hi = wilson(F.col("k"), F.col("n"))
     ref_lo, ref_hi = wilson(F.col("ref_k"), F.col("ref_n"))
     c = F.col

@@ -9,6 +9,7 @@ from auditspark.functions import scalars as S
 from auditspark.operators import audit, diagnose, intervals, proxies
 from auditspark.plans import views
 from auditspark.plans.views import ORDERS_SQL, PRIVILEGED
+from auditspark.sources.workspace import written
 
 ATTRS = list(PRIVILEGED)
 QUERIES: dict = {}
@@ -356,7 +357,7 @@ causes AS (SELECT attribute, di, severity, CASE WHEN len(c) = 0 AND d >= 0.95 TH
 
 
 def _causes(spark, sf_dir) -> DataFrame:
-    rows = views.orders(spark, sf_dir)
+    rows = written(views.orders(spark, sf_dir).select("actual", "predicted", *ATTRS, *_FEATURES), "decisions")
     found = proxies.proxies(proxies.associations(rows, ATTRS, _FEATURES))
     return diagnose.root_causes(audit.attribute_metrics(rows, PRIVILEGED), diagnose.imbalance(audit.breakdown(rows, ATTRS)), found)
 

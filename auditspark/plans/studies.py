@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditspark.operators import audit, models, proxies, quality, resample, split
+from auditspark.operators import audit, models, proxies, quality, resample, running, split
 from auditspark.plans import views
 from auditspark.plans.audits import _wilson
 from auditspark.plans.views import DOCUMENTS_SQL, ORDERS_SQL
+from auditspark.sources.workspace import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -304,7 +305,7 @@ CONVENTIONS = ("max_rate", "max_rate_floor15", "control")
 
 @query("r07_population_truth", f"WITH {_POP_SQL}, {_TRUTH} SELECT * FROM truth")
 def r07(spark, sf_dir) -> DataFrame:
-    return resample.population_truth(_pop_cells(spark, sf_dir), CONVENTIONS, CONTROL)
+    return resample.population_truth(written(_pop_cells(spark, sf_dir), "cells"), CONVENTIONS, CONTROL)
 
 
 SIZES, DRAWS = (60, 120), 8
@@ -321,11 +322,30 @@ def r06_hash(spark, sf_dir) -> DataFrame:
     return _draws(spark, sf_dir)
 
 
+def _order_cells(spark, sf_dir) -> DataFrame:
+    cells = audit.confusion_cells(views.orders(spark, sf_dir), ["r_name", "seg"])
+    return cells.select(F.concat_ws(" x ", "r_name", F.coalesce("seg", F.lit("null"))).alias("cell"), F.col("sel").alias("k"), "n")
+
+
 @query("r06_hypergeometric_draws")
 def r06(spark, sf_dir) -> DataFrame:
     """2000 draws of five sizes from the order decisions' cells."""
-    cells = audit.confusion_cells(views.orders(spark, sf_dir), ["r_name", "seg"]).select(F.concat_ws(" x ", "r_name", F.coalesce("seg", F.lit("null"))).alias("cell"), F.col("sel").alias("k"), "n")
-    return resample.drawn_counts(cells, (500, 1000, 2196, 4000, 8000), 2000)
+    return resample.drawn_counts(_order_cells(spark, sf_dir), (500, 1000, 2196, 4000, 8000), 2000)
+
+
+_CELLS_SQL = "cells AS (SELECT concat_ws(' x ', r_name, coalesce(seg, 'null')) AS cell, sum(predicted)::BIGINT AS k, count(*) AS n FROM audit_orders GROUP BY 1), sizes AS (SELECT unnest([500, 1000, 2196, 4000, 8000])::INT AS m)"
+
+
+@query("r06_draw_totals", f"WITH {ORDERS_SQL}, {_CELLS_SQL} SELECT m, range::INT AS draw, least(m, (SELECT sum(n) FROM cells))::BIGINT AS rows, (SELECT count(*) FROM cells) AS cells, TRUE AS possible FROM sizes, range(2000)")
+def r06_totals(spark, sf_dir) -> DataFrame:
+    """Of every draw: its rows (exactly m, or all there are), its cells, and whether no cell gives more than it has."""
+    return resample.draw_totals(r06(spark, sf_dir), _order_cells(spark, sf_dir))
+
+
+@query("r06_draw_moments", f"WITH {ORDERS_SQL}, {_CELLS_SQL} SELECT m, cell, TRUE AS n_mean, TRUE AS k_mean, TRUE AS n_variance, TRUE AS k_variance, TRUE AS covariance FROM sizes, cells")
+def r06_moments(spark, sf_dir) -> DataFrame:
+    """Of every size and cell: whether means, variances and the covariance of the 2000 draws lie where those of sampling without replacement do."""
+    return resample.draw_moments(r06(spark, sf_dir), _order_cells(spark, sf_dir))
 
 
 _LO, _HI = _wilson("k", "nullif(n, 0)")
@@ -369,7 +389,7 @@ def r10(spark, sf_dir) -> DataFrame:
 @query("r10_hypergeometric_study")
 def r10_scale(spark, sf_dir) -> DataFrame:
     """The whole grid at 300 draws a size, from cell counts only."""
-    cells = _pop_cells(spark, sf_dir)
+    cells = written(_pop_cells(spark, sf_dir), "cells")
     draws = resample.drawn_counts(cells, (60, 120, 240), 300)
     return resample.study(resample.draw_events(resample.assertions(draws, CONVENTIONS, CONTROL), resample.population_truth(cells, CONVENTIONS, CONTROL)))
 
@@ -381,7 +401,7 @@ def f06(spark, sf_dir) -> DataFrame:
 
 @query("w05_running_spend", "WITH e AS (SELECT event_id, user_id, ts, value FROM events WHERE value <> 0) SELECT event_id, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + value > 500 AS over_cap FROM e", rounded=('spent',))
 def w05(spark, sf_dir) -> DataFrame:
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("value").over(before), F.lit(0.0))
-    return _t(spark, sf_dir, "events").where("value <> 0").select("event_id", spent.alias("spent"), (spent + F.col("value") > 500).alias("over_cap"))
-
+    """What each user had spent before a call, and whether the call passes the cap; ledger entries of 0 are skipped."""
+    calls = _t(spark, sf_dir, "events").where("value <> 0").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
+    rows = running.sums_before(calls, "user_id", "at", ["event_id"], "value", "spent")
+    return rows.select("event_id", "spent", (F.col("spent") + F.col("value") > 500).alias("over_cap"))
