@@ -77,9 +77,13 @@ def pair_metrics(sides: DataFrame, orientation: str = "unpriv_over_priv", outcom
 
 def attribute_metrics(df: DataFrame, privileged: dict[str, str], favorable: int = 1, threshold: float = 0.8, null_group: str = "unprivileged", outcome: str = "predicted", orientation: str = "unpriv_over_priv") -> DataFrame:
     """All metrics of every configured attribute in one job, with the four-fifths flag (false where undefined) and severity."""
-    attrs = list(privileged)
-    config = df.sparkSession.createDataFrame(list(privileged.items()), "attribute string, privileged string")
-    sides = two_groups(grouped_cells(confusion_cells(df, attrs, favorable), attrs), config, null_group)
+    return cell_metrics(confusion_cells(df, list(privileged), favorable), privileged, threshold, null_group, outcome, orientation)
+
+
+def cell_metrics(cells: DataFrame, privileged: dict[str, str], threshold: float = 0.8, null_group: str = "unprivileged", outcome: str = "predicted", orientation: str = "unpriv_over_priv") -> DataFrame:
+    """The same from confusion cells over these attributes."""
+    config = cells.sparkSession.createDataFrame(list(privileged.items()), "attribute string, privileged string")
+    sides = two_groups(grouped_cells(cells, list(privileged)), config, null_group)
     return pair_metrics(sides, orientation, outcome).select("attribute", "privileged", "di", "dpd", "eod", "aod", "theil", F.coalesce(F.col("di") < threshold, F.lit(False)).alias("bias_flag"), severity(F.col("di"), threshold).alias("severity"))
 
 
@@ -91,7 +95,12 @@ def majority_groups(long: DataFrame) -> DataFrame:
 
 def breakdown(df: DataFrame, attrs: Sequence[str], favorable: int = 1, keep_null: bool = True) -> DataFrame:
     """Per group: n, share of all rows in percent, base rate, selection rate, TPR, FPR."""
-    long = grouped_cells(confusion_cells(df, attrs, favorable), attrs)
+    return cell_breakdown(confusion_cells(df, attrs, favorable), attrs, keep_null)
+
+
+def cell_breakdown(cells: DataFrame, attrs: Sequence[str], keep_null: bool = True) -> DataFrame:
+    """The same from confusion cells over these attributes."""
+    long = grouped_cells(cells, attrs)
     long = long if keep_null else long.where("value IS NOT NULL")
     share = 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("attribute"))
     return rates(long).select("attribute", F.col("value").alias("group"), "n", share.alias("pct_of_total"), "base_rate", "selection_rate", "tpr", "fpr")

@@ -6,15 +6,14 @@ import functools
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.scalars import ratio
-from auditspark.operators import running
+from auditspark.operators import fits, running
 from auditspark.sources.workspace import written
 
 
@@ -54,7 +53,7 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     return c.withColumn("weight", F.sum("n").over(Window.partitionBy(F.lit(0))) / (2.0 * F.col("n")))
 
 
-def fitted(train: DataFrame, features: Sequence[str], target: str, kind: str = "logistic", balanced: bool = False, seed: int = 42, trees: int = 20):
+def fitted(train: DataFrame, features: Sequence[str], target: str, kind: str = "logistic", balanced: bool = False):
     """A pipeline (assembled features, classifier or regression) fitted on the rows."""
     stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")]
     if balanced:
@@ -62,30 +61,23 @@ def fitted(train: DataFrame, features: Sequence[str], target: str, kind: str = "
     extra = {"weightCol": "weight"} if balanced else {}
     if kind == "logistic":
         stages.append(LogisticRegression(labelCol=target, maxIter=50, **extra))
-    elif kind == "forest":
-        stages.append(RandomForestClassifier(labelCol=target, numTrees=trees, seed=seed, **extra))
     else:
         stages.append(LinearRegression(labelCol=target, maxIter=50))
     return Pipeline(stages=stages).fit(train)
 
 
-def out_of_fold(df: DataFrame, features: Sequence[str], target: str, k: int = 5, kind: str = "logistic") -> DataFrame:
-    """(record_id, fold, actual, predicted, score): every row predicted by the model that did not see its fold."""
-    out = None
-    for fold in range(k):
-        train = df.where(F.col("fold") != fold)
-        model = fitted(train, features, target, kind)
-        part = model.transform(df.where(F.col("fold") == fold)).select("record_id", "fold", F.col(target).alias("actual"), F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def logistic_metrics(train: DataFrame, test: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """n, accuracy, precision, recall, f1 and auc of a balanced logistic model on the test rows.
 
-
-def importances(model, features: Sequence[str]) -> DataFrame:
-    """(feature, importance) of a fitted forest, the largest first."""
-    from pyspark.sql import SparkSession
-
-    rows = sorted(zip(features, map(float, model.stages[-1].featureImportances.toArray()), strict=True), key=lambda r: (-r[1], r[0]))
-    return SparkSession.active().createDataFrame(rows, "feature string, importance double")
+    If the training rows have one class only, nothing is fitted: accuracy 1, precision, recall and f1 0, AUC 0.5. An AUC of
+    test rows with one class only is 0.5 too.
+    """
+    model = fits.logistic_fit(train, features, target, balanced=True)
+    if model.label is not None:
+        fixed = {"accuracy": 1.0, "precision": 0.0, "recall": 0.0, "f1": 0.0, "auc": 0.5}
+        return test.agg(F.count("*").alias("n"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+    tested = written(test.select(F.col(target).alias("actual"), model.predicted(features).alias("predicted"), model.probability(features).alias("score")), "tested")
+    return classification_metrics(tested).crossJoin(F.broadcast(auc(tested).select(F.coalesce("auc", F.lit(0.5)).alias("auc"))))
 
 
 def classification_metrics(df: DataFrame, by: Sequence[str] = (), positive: int = 1) -> DataFrame:

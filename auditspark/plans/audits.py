@@ -357,9 +357,10 @@ causes AS (SELECT attribute, di, severity, CASE WHEN len(c) = 0 AND d >= 0.95 TH
 
 
 def _causes(spark, sf_dir) -> DataFrame:
-    rows = written(views.orders(spark, sf_dir).select("actual", "predicted", *ATTRS, *_FEATURES), "decisions")
-    found = proxies.proxies(proxies.associations(rows, ATTRS, _FEATURES))
-    return diagnose.root_causes(audit.attribute_metrics(rows, PRIVILEGED), diagnose.imbalance(audit.breakdown(rows, ATTRS)), found)
+    rows = views.orders(spark, sf_dir)
+    cells = written(audit.confusion_cells(rows, ATTRS), "cells")
+    found = written(proxies.proxies(proxies.associations(rows, ATTRS, _FEATURES)), "proxies")
+    return diagnose.root_causes(audit.cell_metrics(cells, PRIVILEGED), diagnose.imbalance(audit.cell_breakdown(cells, ATTRS)), found)
 
 
 @query("d02_root_causes", f"WITH {_CAUSES} SELECT attribute, di, severity, array_to_string(causes, ',') AS causes, array_to_string(remedies, ',') AS remedies FROM causes")

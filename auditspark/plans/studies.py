@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditspark.operators import audit, models, proxies, quality, resample, running, split
+from auditspark.operators import audit, fits, forest, models, proxies, quality, resample, running, split
 from auditspark.plans import views
 from auditspark.plans.audits import _wilson
 from auditspark.plans.views import DOCUMENTS_SQL, ORDERS_SQL
@@ -183,7 +183,36 @@ def r05(spark, sf_dir) -> DataFrame:
 
 @query("r05_out_of_fold_predictions")
 def r05_oof(spark, sf_dir) -> DataFrame:
-    return models.out_of_fold(_folded(spark, sf_dir).select("record_id", "fold", "actual", "price", "balance"), ["price", "balance"], "actual")
+    """Logistic scores of every order by the model that didn't see its fold; all five models share each scan."""
+    rows = _folded(spark, sf_dir).select("record_id", "fold", "actual", "price", "balance")
+    return fits.out_of_fold_logistic(rows, ["price", "balance"], "actual").select("record_id", "fold", "actual", "predicted", "score")
+
+
+@query("r05_fold_gradients", f"WITH {ORDERS_SQL} SELECT model::INT AS model, parameter, 0.0::DOUBLE AS gradient FROM range(5) m(model), (VALUES ('intercept'), ('price'), ('balance')) p(parameter) WHERE (SELECT count(*) FROM audit_orders) > 0")
+def r05_gradients(spark, sf_dir) -> DataFrame:
+    """The gradients of the five models' losses, recomputed from the rows: 0 to seven digits at the best fit."""
+    rows = written(_folded(spark, sf_dir).select("fold", "actual", "price", "balance"), "folded")
+    found = fits.gradients(rows, ["price", "balance"], "actual", fits.logistic_fits(rows, ["price", "balance"], "actual", "fold"), "fold")
+    return found.withColumn("gradient", F.abs(F.round("gradient", 7)))
+
+
+def _two_slopes(rows: str, y: str, a: str, b: str, by: str = "") -> str:
+    """SQL of the least-squares fit y ~ a + b over ``rows``, by the closed form of two features."""
+    det = f"(var_pop({a}) * var_pop({b}) - pow(covar_pop({a}, {b}), 2))"
+    sa = f"(covar_pop({a}, {y}) * var_pop({b}) - covar_pop({b}, {y}) * covar_pop({a}, {b})) / {det}"
+    sb = f"(covar_pop({b}, {y}) * var_pop({a}) - covar_pop({a}, {y}) * covar_pop({a}, {b})) / {det}"
+    group = f"{by}, " if by else ""
+    return f"SELECT {group}{sa} AS sa, {sb} AS sb, avg({y}) - ({sa}) * avg({a}) - ({sb}) * avg({b}) AS icept FROM {rows}" + (f" GROUP BY {by}" if by else "")
+
+
+_OTHERS = "others AS (SELECT k.fold AS model, f.price, f.balance, f.actual FROM (SELECT DISTINCT fold FROM folded) k, folded f WHERE f.fold <> k.fold)"
+
+
+@query("r05_out_of_fold_linear", f"WITH {ORDERS_SQL}, {_FOLDS}, {_OTHERS}, fit AS ({_two_slopes('others', 'actual', 'price', 'balance', 'model')}) SELECT record_id, fold, icept + sa * price + sb * balance AS prediction FROM folded JOIN fit ON fold = model", rounded=("prediction",))
+def r05_linear(spark, sf_dir) -> DataFrame:
+    """The linear probability of every order by the least squares of the other folds: moments of one scan."""
+    rows = _folded(spark, sf_dir).select("record_id", "fold", "actual", "price", "balance")
+    return fits.out_of_fold_linear(rows, ["price", "balance"], "actual").select("record_id", "fold", "prediction")
 
 
 # Features and models
@@ -216,27 +245,106 @@ def m04_weights(spark, sf_dir) -> DataFrame:
     return models.class_weights(views.orders(spark, sf_dir), "actual")
 
 
+def _held_out(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = views.orders(spark, sf_dir).select("record_id", "actual", "price", "balance")
+    return rows.where("record_id % 5 <> 0"), rows.where("record_id % 5 = 0")
+
+
 @query("m04_logistic_regression")
 def m04(spark, sf_dir) -> DataFrame:
-    rows = views.orders(spark, sf_dir).select("record_id", "actual", "price", "balance")
-    model = models.fitted(rows.where("record_id % 5 <> 0"), ["price", "balance"], "actual", balanced=True)
-    return models.classification_metrics(model.transform(rows.where("record_id % 5 = 0")).withColumn("predicted", F.col("prediction").cast("int")))
+    """Metrics of a balanced logistic model on the orders that it didn't see."""
+    return models.logistic_metrics(*_held_out(spark, sf_dir), ["price", "balance"], "actual")
+
+
+@query("m04_fit_gradient", f"WITH {ORDERS_SQL} SELECT 0::INT AS model, parameter, 0.0::DOUBLE AS gradient FROM (VALUES ('intercept'), ('price'), ('balance')) p(parameter) WHERE (SELECT count(*) FROM audit_orders) > 0")
+def m04_gradient(spark, sf_dir) -> DataFrame:
+    """The gradient of the balanced model's loss, recomputed from the rows: 0 to seven digits at the best fit."""
+    train, _ = _held_out(spark, sf_dir)
+    train = written(train, "training")
+    model = fits.logistic_fit(train, ["price", "balance"], "actual", balanced=True)
+    return fits.gradients(train, ["price", "balance"], "actual", {0: model}, balanced=True).withColumn("gradient", F.abs(F.round("gradient", 7)))
+
+
+@query("m04_single_class", f"WITH {ORDERS_SQL} SELECT count(*) AS n, 1.0::DOUBLE AS accuracy, 0.0::DOUBLE AS \"precision\", 0.0::DOUBLE AS recall, 0.0::DOUBLE AS f1, 0.5::DOUBLE AS auc FROM audit_orders WHERE record_id % 5 = 0")
+def m04_single(spark, sf_dir) -> DataFrame:
+    """Where training has one class only, no model is fitted and the fallback metrics are given."""
+    train, test = _held_out(spark, sf_dir)
+    return models.logistic_metrics(train.where("actual = 1"), test, ["price", "balance"], "actual")
+
+
+_TREE_FEATURES = {"price": [50_000.0, 100_000.0, 150_000.0, 200_000.0, 300_000.0], "balance": [0.0, 2_500.0, 5_000.0, 7_500.0], "nation": [4.0, 9.0, 14.0, 19.0]}
+
+
+def tree_sql(rows: str, cuts: dict[str, list[float]], y: str) -> str:
+    """SQL of the importances of one tree of depth 2: the best cut of all rows, then of each side."""
+    bins = ", ".join(f"({' + '.join(f'({f} > {e})::INT' for e in es)}) AS {f}" for f, es in cuts.items())
+    long = " UNION ALL ".join(f"SELECT {{n}} AS node, {i} AS feature, {f} AS bin, y FROM {{src}}" for i, f in enumerate(cuts))
+    gini = lambda w, p: f"CASE WHEN {w} > 0 THEN 2.0::DOUBLE * ({p}) * (({w}) - ({p})) / ({w}) ELSE 0 END"
+
+    def best(name: str, source: str, node: str) -> str:
+        return f"""{name}_l AS ({long.format(n=node, src=source)}),
+{name}_c AS (SELECT node, feature, bin, count(*)::DOUBLE AS w, sum(y)::DOUBLE AS p FROM {name}_l GROUP BY 1, 2, 3),
+{name}_u AS (SELECT node, feature, bin, sum(w) OVER (PARTITION BY node, feature ORDER BY bin) AS lw, sum(p) OVER (PARTITION BY node, feature ORDER BY bin) AS lp, sum(w) OVER (PARTITION BY node, feature) AS nw, sum(p) OVER (PARTITION BY node, feature) AS np FROM {name}_c),
+{name}_g AS (SELECT node, feature, bin, round({gini('nw', 'np')} - {gini('lw', 'lp')} - {gini('nw - lw', 'np - lp')}, 9) AS gain FROM {name}_u WHERE nw > lw),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) AS k FROM {name}_g WHERE gain > 0) WHERE k = 1)"""
+
+    at = "CASE r.feature " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(cuts)) + " END"
+    names = ", ".join(f"'{f}'" for f in cuts)
+    return f"""binned AS (SELECT {y}::INT AS y, {bins} FROM {rows}), {best('root', 'binned', '1')},
+sides AS (SELECT b.*, CASE WHEN {at} <= r.bin THEN 2 ELSE 3 END AS side FROM binned b, root r), {best('child', 'sides', 'side')},
+gains AS (SELECT feature, gain FROM root UNION ALL SELECT feature, gain FROM child),
+imp AS (SELECT f.name AS feature, coalesce(sum(gain), 0) / (SELECT sum(gain) FROM gains) AS importance FROM (SELECT unnest([{names}]) AS name, unnest(range({len(cuts)})) AS i) f LEFT JOIN gains ON gains.feature = f.i GROUP BY 1)"""
+
+
+def _tree_rows(spark, sf_dir) -> DataFrame:
+    orders, customers = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(F.col("o_orderkey").alias("record_id"), (F.col("o_orderstatus") != "F").cast("int").alias("actual"), F.col("o_totalprice").alias("price"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
 
 
 @query("m05_random_forest")
 def m05(spark, sf_dir) -> DataFrame:
-    rows = views.orders(spark, sf_dir).select("record_id", "predicted", "price", "balance")
-    return models.importances(models.fitted(rows, ["price", "balance"], "predicted", "forest"), ["price", "balance"])
+    """Feature importances of twenty trees of depth 4 on an order's status, which no feature determines."""
+    rows = _tree_rows(spark, sf_dir)
+    return forest.grown(rows, ["price", "balance", "nation"], "actual", "record_id").importances(spark)
+
+
+_TREE_ORDERS = "(SELECT (o_orderstatus <> 'F')::INT AS actual, o_totalprice AS price, c_acctbal AS balance, c_nationkey AS nation FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
-QUERIES["k03_importance_ranking"] = m05
+@query("m05_tree", f"WITH {tree_sql(_TREE_ORDERS, _TREE_FEATURES, 'actual')} SELECT feature, importance FROM imp", rounded=("importance",))
+def m05_tree(spark, sf_dir) -> DataFrame:
+    """Importances of one tree of depth 2 with given cut points."""
+    return forest.grown(_tree_rows(spark, sf_dir), list(_TREE_FEATURES), "actual", "record_id", _TREE_FEATURES, trees=1, depth=2).importances(spark)
 
 
-@query("m06_linear_regression")
+_LINE_CUTS = {"l_quantity": [10.0, 20.0, 30.0, 40.0], "l_extendedprice": [10_000.0, 30_000.0, 60_000.0], "l_discount": [0.02, 0.05, 0.08], "l_tax": [0.02, 0.05]}
+
+
+@query("k03_importance_ranking", f"WITH {tree_sql('lineitem', _LINE_CUTS, chr(40) + 'l_returnflag = ' + chr(39) + 'R' + chr(39) + chr(41))} SELECT feature, importance, row_number() OVER (ORDER BY round(importance, 6) DESC, feature)::INT AS place FROM imp", rounded=("importance",))
+def k03(spark, sf_dir) -> DataFrame:
+    """Features of returned line items by importance in a tree of depth 2."""
+    rows = _t(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), (F.col("l_returnflag") == "R").cast("int").alias("y"), *_LINE_CUTS)
+    found = forest.grown(rows, list(_LINE_CUTS), "y", "key", _LINE_CUTS, trees=1, depth=2).importances(spark)
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("importance", 6)), "feature")))  # one row a feature
+
+
+_LINES = "lines AS (SELECT l_orderkey % 5 = 0 AS test, l_quantity AS a, l_discount AS b, l_extendedprice AS y FROM lineitem)"
+
+
+@query("m06_linear_regression", f"WITH {_LINES}, fit AS ({_two_slopes('(SELECT * FROM lines WHERE NOT test)', 'y', 'a', 'b')}), p AS (SELECT y, y - (icept + sa * a + sb * b) AS e FROM lines, fit WHERE test) SELECT avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - avg(e * e) / var_pop(y) AS r2 FROM p", rounded=("mae", "rmse", "r2"), digits=4)
 def m06(spark, sf_dir) -> DataFrame:
+    """Errors of a least-squares fit on the line items that it didn't see."""
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_extendedprice")
-    model = models.fitted(rows.where("l_orderkey % 5 <> 0"), ["l_quantity", "l_discount"], "l_extendedprice", "linear")
-    return models.regression_metrics(model.transform(rows.where("l_orderkey % 5 = 0")), "l_extendedprice", "prediction")
+    model = fits.linear_fit(rows.where("l_orderkey % 5 <> 0"), ["l_quantity", "l_discount"], "l_extendedprice")
+    tested = rows.where("l_orderkey % 5 = 0").withColumn("prediction", model.column(["l_quantity", "l_discount"]))
+    return models.regression_metrics(tested, "l_extendedprice", "prediction")
+
+
+@query("m06_coefficients", f"WITH {_LINES}, fit AS ({_two_slopes('lines', 'y', 'a', 'b')}) SELECT icept AS intercept, sa AS quantity, sb AS discount FROM fit", rounded=("intercept", "quantity", "discount"), digits=3)
+def m06_coefficients(spark, sf_dir) -> DataFrame:
+    model = fits.linear_fit(_t(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    return spark.createDataFrame([(model.intercept, *model.slopes)], "intercept double, quantity double, discount double")
 
 
 @query("m06_regression_metrics", "SELECT avg(abs(l_extendedprice - l_quantity * 1000)) AS mae, sqrt(avg(pow(l_extendedprice - l_quantity * 1000, 2))) AS rmse, 1 - avg(pow(l_extendedprice - l_quantity * 1000, 2)) / var_pop(l_extendedprice) AS r2 FROM lineitem", rounded=('mae', 'rmse', 'r2'))
