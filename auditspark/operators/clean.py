@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.operators.models import exact_quantiles, medians
@@ -41,17 +41,27 @@ def validated(df: DataFrame, members: dict[str, Sequence[str]], ranges: dict[str
     return df.withColumns(out)
 
 
+#: Invalid values of a column that the short report names.
+NAMED_VALUES = 20
+
+
+def invalid_values(df: DataFrame, members: dict[str, Sequence[str]], ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """(column, value, n): every invalid value and its rows, by partial sums; values out of range are one row (null)."""
+    none = F.lit(None).cast("string")
+    bad = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), (F.col(c).isNotNull() & ~F.col(c).isin(*v)).alias("bad")) for c, v in members.items()]
+    bad += [F.struct(F.lit(c).alias("column"), none.alias("value"), (F.col(c).isNotNull() & ~F.col(c).between(*r)).alias("bad")) for c, r in ranges.items()]
+    return df.select(F.inline(F.array(*bad))).where("bad").groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
 def validity_report(df: DataFrame, members: dict[str, Sequence[str]], ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """(column, invalid, values): counts of invalid values in one pass; the distinct ones for categories."""
-    aggs, parts = [], []
-    for c, v in members.items():
-        bad = F.col(c).isNotNull() & ~F.col(c).isin(*v)
-        aggs += [F.count_if(bad).alias(f"n_{c}"), F.array_join(F.array_sort(F.collect_set(F.when(bad, F.col(c)))), ",").alias(f"v_{c}")]
-    for c, (low, high) in ranges.items():
-        aggs += [F.count_if(F.col(c).isNotNull() & ~F.col(c).between(low, high)).alias(f"n_{c}"), F.lit("").alias(f"v_{c}")]
-    for c in [*members, *ranges]:
-        parts.append(F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("invalid"), F.col(f"v_{c}").alias("values")))
-    return df.agg(*aggs).select(F.inline(F.array(*parts)))
+    """(column, invalid, values): rows with an invalid value, and the first ``NAMED_VALUES`` such values of a category."""
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    counts = invalid_values(df, members, ranges).withColumn("place", place)
+    named = F.array_sort(F.collect_list(F.when(F.col("place") <= NAMED_VALUES, F.col("value"))))
+    found = counts.groupBy("column").agg(F.sum("n").alias("invalid"), F.array_join(named, ",").alias("values"))
+    columns = df.sparkSession.createDataFrame([(c,) for c in [*members, *ranges]], "column string")
+    empty = F.when(F.col("column").isin(*ranges), F.lit(""))
+    return columns.join(F.broadcast(found), "column", "left").select("column", F.coalesce("invalid", F.lit(0)).alias("invalid"), F.coalesce(empty, "values", F.lit("")).alias("values"))
 
 
 def one_hot_decoded(flags: dict[str, Column], base: str) -> Column:

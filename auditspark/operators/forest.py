@@ -74,11 +74,18 @@ class Forest:
         return spark.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])), "feature string, importance double")
 
 
-def _weight(tree: Column, row: Column, seed: int, trees: int) -> Column:
+def _placed(rows: DataFrame, forest: Forest, trees: int, level: int, seed: int) -> DataFrame:
+    """(tree, node, w, p, bins) of the rows in nodes of a level: a join with each earlier level's cuts, at most 2 ^ level a tree."""
+    out = rows.select("row", "y", "bins", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).alias("node"))
+    for earlier in range(level):
+        cuts = [(t, n, f, b) for (t, n), (f, b) in forest.splits.items() if n >> earlier == 1]
+        table = rows.sparkSession.createDataFrame(cuts, "tree int, node int, feature int, cut int")
+        out = out.join(F.broadcast(table), ["tree", "node"]).withColumn("node", 2 * F.col("node") + (F.col("bins")[F.col("feature")] > F.col("cut")).cast("int")).drop("feature", "cut")
     if trees == 1:
-        return F.lit(1.0)
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", row, tree, F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return running.ranges(u, POISSON).cast("double")
+        return out.select("tree", "node", F.lit(1.0).alias("w"), F.col("y").alias("p"), "bins")
+    out = out.withColumn("u", F.conv(F.substring(F.md5(F.concat_ws("|", "row", "tree", F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0)
+    out = out.withColumn("w", running.ranges(F.col("u"), POISSON).cast("double")).where("w > 0")
+    return out.select("tree", "node", "w", (F.col("w") * F.col("y")).alias("p"), "bins")
 
 
 def grown(df: DataFrame, features: Sequence[str], target: str, key: str, cuts: dict[str, list[float]] | None = None, trees: int = 20, depth: int = 4, tried: int | None = None, seed: int = 42) -> Forest:
@@ -93,9 +100,7 @@ def grown(df: DataFrame, features: Sequence[str], target: str, key: str, cuts: d
     rows = df.where(F.col(target).isNotNull()).select(F.col(key).cast("string").alias("row"), F.col(target).cast("double").alias("y"), F.coalesce(forest.binned(), F.array()).alias("bins"))
     rows = written(rows, "binned")
     for level in range(depth + 1):
-        tree = F.inline(F.array(*[F.struct(F.lit(t).alias("tree"), forest.node(t, F.col("bins")).alias("node")) for t in range(trees)]))
-        placed = rows.select("row", "y", "bins", tree).where(F.col("node") >= 1 << level).withColumn("w", _weight(F.col("tree"), F.col("row"), seed, trees)).where("w > 0")
-        cells = placed.select("tree", "node", "w", (F.col("w") * F.col("y")).alias("p"), F.posexplode("bins").alias("feature", "bin"))
+        cells = _placed(rows, forest, trees, level, seed).select("tree", "node", "w", "p", F.posexplode("bins").alias("feature", "bin"))
         cells = cells.groupBy("tree", "node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("p").alias("p"))
         node = Window.partitionBy("tree", "node", "feature")
         upto = node.orderBy("bin")

@@ -35,6 +35,24 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ends.crossJoin(F.broadcast(medians(df, columns))).select(F.inline(F.array(*rows)))
 
 
+def category_counts(df: DataFrame, columns: Sequence[str], top: int = 5) -> DataFrame:
+    """(column, value, n, by_value, by_count, in_top): counts of each category, in the order of values and of counts.
+
+    Ranks are windows over the counts; ``in_top`` marks the ``top`` commonest values (the smaller one of equals).
+    """
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    counts = df.select(cells).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("column")
+    place = F.row_number().over(own.orderBy(F.desc("n"), "value"))
+    return counts.select("column", "value", "n", F.row_number().over(own.orderBy("value")).alias("by_value"), place.alias("by_count"), (place <= top).alias("in_top"))
+
+
+def ordered_distinct(df: DataFrame, keys: Sequence[str], value: str, position: str) -> DataFrame:
+    """(keys, place, value): each key's distinct values in the order in which they first occur."""
+    first = df.groupBy(*keys, value).agg(F.min(position).alias("first"))
+    return first.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("first", value)).alias("place"), value)
+
+
 def split_report(df: DataFrame, split: str, target: str) -> DataFrame:
     return df.groupBy(split).agg(F.count("*").alias("rows"), F.avg(target).alias("positive_rate"))
 

@@ -218,3 +218,13 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, number, title, severity) of Markdown sections that start with ``## `` after a rule."""
     parts = df.select(key, F.posexplode(F.split(F.col(text), "\n---\n## ")).alias("number", "part")).where("number > 0")
     return parts.select(key, "number", F.trim(F.substring_index("part", "\n", 1)).alias("title"), severity_label(F.regexp_extract("part", r"Severity:\**[ \t]*([A-Za-z]+)", 1)).alias("severity"))
+
+
+#: Characters of a token, tokens of an answer, and the margin of an estimate before a call.
+CHARS_A_TOKEN, ANSWER_TOKENS, MARGIN = 4, 1200, 1.15
+
+
+def estimated_cost(prompt: Column, input_price: Column, output_price: Column, answer_tokens: int = ANSWER_TOKENS) -> Column:
+    """The cost of a call before it is made: tokens from the prompt's length (at least one), with a margin."""
+    tokens = F.greatest(F.lit(1), F.floor(F.length(prompt) / CHARS_A_TOKEN))
+    return (tokens / 1e6 * input_price + answer_tokens / 1e6 * output_price) * MARGIN

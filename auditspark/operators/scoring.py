@@ -220,3 +220,17 @@ def seeds(attribute: Column, topics: Mapping[str, Sequence[str]], general: Seque
     """Seed sources for an attribute: those of every topic that its name contains, then the general ones, each once."""
     own = [F.when(F.contains(F.lower(attribute), F.lit(topic)), F.array(*map(F.lit, ids))).otherwise(F.array().cast("array<string>")) for topic, ids in topics.items()]
     return F.array_distinct(F.concat(*own, F.array(*map(F.lit, general))))
+
+
+#: General literature searches that any data set starts with.
+DEFAULT_SEARCHES = (
+    "algorithmic fairness bias detection mitigation machine learning",
+    "AIF360 fairlearn bias mitigation demographic parity equal opportunity",
+    "proxy discrimination machine learning fairness sample size subgroup reliability",
+)
+
+
+def default_searches(dataset: Column, attributes: Column) -> Column:
+    """The general searches and one for the data set with its first three attributes."""
+    named = F.when(F.size(attributes) > 0, F.array_join(F.slice(attributes, 1, 3), ", ")).otherwise("protected attributes")
+    return F.array(*map(F.lit, DEFAULT_SEARCHES), F.concat(dataset, F.lit(" fairness bias mitigation "), named))

@@ -116,6 +116,12 @@ def p16(spark, sf_dir) -> DataFrame:
     return clean.validity_report(_checked(spark, sf_dir), *_RULES)
 
 
+@query("p16_invalid_values", f"WITH s AS (SELECT c_custkey, {_BAD}) SELECT 'seg' AS \"column\", seg AS value, count(*) AS n FROM s WHERE seg NOT IN ('BUILDING', 'MACHINERY') GROUP BY 2 UNION ALL SELECT 'bal', NULL, count(*) FROM s WHERE bal NOT BETWEEN 0 AND 5000 HAVING count(*) > 0")
+def p16_values(spark, sf_dir) -> DataFrame:
+    """Every invalid value and its rows, however many there are."""
+    return clean.invalid_values(_checked(spark, sf_dir), *_RULES)
+
+
 @query("p18_winsorised", """WITH b AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem WHERE l_orderkey % 5 <> 0)
 SELECT l_orderkey, l_linenumber, greatest(q1 - 0.5 * (q3 - q1), least(q3 + 0.5 * (q3 - q1), l_extendedprice)) AS l_extendedprice FROM lineitem, b""".replace("0.5 * (q3", "1.5 * (q3"))
 def p18(spark, sf_dir) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions import scalars as S
-from auditspark.operators import diagnose, evidence
+from auditspark.operators import diagnose, evidence, frequent
 from auditspark.operators import records as R
 from auditspark.plans import audits, views
 from auditspark.plans.studies import query as _query
@@ -111,6 +111,13 @@ def x11(spark, sf_dir) -> DataFrame:
     return _costs(spark, sf_dir).select("record_id", "cost")
 
 
+@query("x11_call_estimate", f"WITH {RECORDS_SQL}, p(dataset, ip, op) AS (VALUES ('mortgage', 2.5, 10.0), ('credit', 0.5, 1.5), ('lending', 0.0, 0.0)) SELECT record_id, ((greatest(1, length(text) // 4)::DOUBLE / 1e6 * ip + 1200 / 1e6 * op) * 1.15)::DOUBLE AS estimate FROM audit_records JOIN p USING (dataset)", rounded=("estimate",), digits=10)
+def x11_estimate(spark, sf_dir) -> DataFrame:
+    """What a call would cost at most, from the length of its prompt."""
+    rows = views.records(spark, sf_dir).join(spark.createDataFrame(_PRICES, "dataset string, input_price double, output_price double"), "dataset")
+    return rows.select("record_id", R.estimated_cost(F.col("text"), F.col("input_price"), F.col("output_price")).alias("estimate"))
+
+
 @query("l20_usage", f"{_COST} SELECT cycle, count(*) AS calls, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, sum(cost) AS cost, sum(cost) / count(*) AS cost_per_call, avg(seconds)::DOUBLE AS latency FROM c GROUP BY 1", rounded=("cost", "cost_per_call", "latency"), digits=10)
 def l20(spark, sf_dir) -> DataFrame:
     return R.usage(_costs(spark, sf_dir))
@@ -143,6 +150,20 @@ def l24(spark, sf_dir) -> DataFrame:
     return wide.withColumnsRenamed({str(k): f"c{k}" for k in (1, 2, 3, 4)})
 
 
+@query("l24_pivot_mean", f"WITH {RECORDS_SQL}, c AS (SELECT dataset, attribute, cycle, avg(total_score) AS m FROM audit_records GROUP BY 1, 2, 3) SELECT dataset, attribute, avg(m) AS mean FROM c GROUP BY 1, 2", rounded=("mean",), digits=1)
+def l24_mean(spark, sf_dir) -> DataFrame:
+    """The mean over a row of the pivot: of its cycles, as far as there are any."""
+    cycles = [F.col(f"c{k}") for k in (1, 2, 3, 4)]
+    held = F.filter(F.array(*cycles), lambda x: x.isNotNull())
+    return l24(spark, sf_dir).select("dataset", "attribute", (F.aggregate(held, F.lit(0.0), lambda s, x: s + x) / F.size(held)).alias("mean"))
+
+
+@query("l24_cycle_statistics", f"WITH {RECORDS_SQL} SELECT cycle, avg(total_score) AS mean, stddev_samp(total_score) AS std, count(total_score) AS n FROM audit_records GROUP BY 1", rounded=("mean", "std"), digits=2)
+def l24_cycles(spark, sf_dir) -> DataFrame:
+    """Mean, sample deviation and number of scores of each cycle."""
+    return views.records(spark, sf_dir).groupBy("cycle").agg(F.avg("total_score").alias("mean"), F.stddev_samp("total_score").alias("std"), F.count("total_score").alias("n"))
+
+
 @query("l25_subscore_share", f"WITH {RECORDS_SQL} SELECT cycle, avg(completeness) / 40 AS completeness, avg(agreement) / 20 AS agreement FROM audit_records GROUP BY 1", rounded=("completeness", "agreement"))
 def l25(spark, sf_dir) -> DataFrame:
     return views.records(spark, sf_dir).groupBy("cycle").agg((F.avg("completeness") / 40).alias("completeness"), (F.avg("agreement") / 20).alias("agreement"))
@@ -304,7 +325,7 @@ def k05(spark, sf_dir) -> DataFrame:
 def k06(spark, sf_dir) -> DataFrame:
     """The ten commonest recurrent statements (a top-k report)."""
     said = _t(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"\. ")).alias("s"))
-    return said.groupBy(F.lower(F.trim("s")).alias("failure")).agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "failure").limit(10)
+    return frequent.commonest(said.select(F.lower(F.trim("s")).alias("failure")), "failure", 10)
 
 
 @query("k07_best_run", f"WITH {RECORDS_SQL}, r AS (SELECT dataset, attribute, avg(total_score) FILTER (cycle = 4) AS final, avg(total_score) FILTER (cycle = 3) AS validation FROM audit_records GROUP BY 1, 2), b AS (SELECT dataset, first(attribute ORDER BY final DESC, attribute) AS best, max(final) AS final, first(validation ORDER BY final DESC, attribute) AS v FROM r WHERE final IS NOT NULL GROUP BY 1) SELECT dataset, best, final, coalesce(v >= final, FALSE) AS promoted FROM b", rounded=("final",))
@@ -337,6 +358,13 @@ def x13(spark, sf_dir) -> DataFrame:
     return R.sections(views.records(spark, sf_dir).select("record_id", page.alias("page")), "record_id", "page")
 
 
+@query("x13_several_sections", f"WITH {RECORDS_SQL}, u AS (SELECT record_id, attribute, dataset, {_SEV.replace('severity', 'nullif(regexp_extract(severity, chr(94) || chr(91) || chr(65) || chr(45) || chr(90) || chr(97) || chr(45) || chr(122) || chr(93) || chr(42)), chr(0))')} AS sev FROM audit_records) SELECT record_id, 1 AS number, attribute AS title, sev AS severity FROM u UNION ALL SELECT record_id, 2, dataset || ' as a whole', 'HIGH' FROM u UNION ALL SELECT record_id, 3, 'Notes', 'UNKNOWN' FROM u")
+def x13_several(spark, sf_dir) -> DataFrame:
+    """Pages with a section for the attribute, one for the data set and one without a severity."""
+    page = F.concat(F.lit("# Report\n---\n## "), F.col("attribute"), F.lit("\n**Severity:** "), F.col("severity"), F.lit("\nwords\n\n---\n## "), F.col("dataset"), F.lit(" as a whole\nSeverity: High\n- more\n---\n## Notes\nnothing else"))
+    return R.sections(views.records(spark, sf_dir).select("record_id", page.alias("page")), "record_id", "page")
+
+
 @query("x21_numeric_leaves", f"WITH m AS ({audits.ORACLE_SQL['a07_attribute_metrics']}), b AS ({audits.ORACLE_SQL['a12_group_breakdown']}), u AS (SELECT attribute, di AS v FROM m UNION ALL SELECT attribute, dpd FROM m UNION ALL SELECT attribute, eod FROM m UNION ALL SELECT attribute, aod FROM m UNION ALL SELECT attribute, n FROM b UNION ALL SELECT attribute, selection_rate FROM b) SELECT attribute, v AS value FROM u WHERE v IS NOT NULL")
 def x21(spark, sf_dir) -> DataFrame:
     rows = R.context_payload(audits.a07(spark, sf_dir), audits.a12(spark, sf_dir))

@@ -192,6 +192,17 @@ def x19(spark, sf_dir) -> DataFrame:
     return views.records(spark, sf_dir).select("record_id", F.explode(asked).alias("query"))
 
 
+@query("x19_default_queries", f"""WITH {RECORDS_SQL}, a AS (SELECT dataset, array_to_string(list_sort(list(DISTINCT attribute))[1:3], ', ') AS named FROM audit_records GROUP BY 1),
+q AS (SELECT dataset, unnest([{', '.join(repr(x) for x in scoring.DEFAULT_SEARCHES)}, dataset || ' fairness bias mitigation ' || named]) AS query, unnest([1, 2, 3, 4]) AS place FROM a) SELECT dataset, place::INT AS place, query FROM q""")
+def x19_defaults(spark, sf_dir) -> DataFrame:
+    """The searches that every data set starts with, in order and each once."""
+    from auditspark.operators import quality
+
+    sets = views.records(spark, sf_dir).groupBy("dataset").agg(F.array_sort(F.collect_set("attribute")).alias("attributes"))  # few attributes
+    asked = sets.select("dataset", F.posexplode(scoring.default_searches(F.col("dataset"), F.col("attributes"))).alias("at", "query"))
+    return quality.ordered_distinct(asked, ["dataset"], "query", "at")
+
+
 @query("x19_seed_selection", f"""WITH {RECORDS_SQL}, t AS (SELECT record_id, unnest(list_concat({', '.join(f"CASE WHEN contains(attribute, '{k}') THEN {_quoted(v)} ELSE [] END" for k, v in _SEEDS.items())}, {_quoted(_GENERAL)})) AS doi FROM audit_records) SELECT DISTINCT record_id, doi FROM t""")
 def x19_seeds(spark, sf_dir) -> DataFrame:
     return views.records(spark, sf_dir).select("record_id", F.explode(scoring.seeds(F.col("attribute"), _SEEDS, _GENERAL)).alias("doi"))
@@ -251,6 +262,27 @@ def s11(spark, sf_dir) -> DataFrame:
     return tables.retained(papers(d.where("doc_id % 3 <> 0"), F.lit("api")), papers(d, live), "attr").select("attr", "kept_old")
 
 
+_MERGED = "(SELECT coalesce(o.attr, n.attr) AS attr, CASE WHEN o.src IS NOT NULL AND coalesce(n.src, 'doi_seed') = 'doi_seed' THEN o.src ELSE n.src END AS src FROM {old} o FULL JOIN {new} n ON o.attr = n.attr)"
+
+
+@query("s11_merged_evidence", f"""WITH d AS (SELECT lang || doc_id % 50 AS attr, doc_id, CASE WHEN n_chars % 2 = 0 THEN 'api' ELSE 'doi_seed' END AS s FROM documents),
+t0 AS (SELECT DISTINCT attr, 'first' AS src FROM d WHERE doc_id % 3 <> 0), h1 AS (SELECT attr, string_agg(DISTINCT s, ',' ORDER BY s) AS src FROM d WHERE doc_id % 4 = 1 GROUP BY 1), h2 AS (SELECT attr, string_agg(DISTINCT s || doc_id % 2, ',' ORDER BY s || doc_id % 2) AS src FROM d WHERE doc_id % 7 = 2 AND s = 'api' GROUP BY 1),
+t1 AS {_MERGED.format(old='t0', new='h1')}, t2 AS {_MERGED.format(old='t1', new='h2')} SELECT attr, src AS sources, 2::BIGINT AS version FROM t2""")
+def s11_merged(spark, sf_dir) -> DataFrame:
+    """Evidence written, two harvests merged (each sent twice), and the table read back with its version."""
+    from auditspark.sources import tables
+    from auditspark.sources.workspace import folder
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat("lang", (F.col("doc_id") % 50).cast("string")).alias("attr"), "doc_id", F.when(F.col("n_chars") % 2 == 0, "api").otherwise("doi_seed").alias("s")).where("attr IS NOT NULL")
+    papers = lambda df, source: df.groupBy("attr").agg(F.transform(F.array_sort(F.collect_set(source)), lambda s: F.struct(s.alias("source"))).alias("papers"))
+    table = tables.EvidenceTable(spark, folder(spark, "evidence"))
+    table.create(papers(d.where("doc_id % 3 <> 0"), F.lit("first")), "start")
+    harvests = {"first": papers(d.where("doc_id % 4 = 1"), F.col("s")), "second": papers(d.where("doc_id % 7 = 2 AND s = 'api'"), F.concat("s", (F.col("doc_id") % 2).cast("string")))}
+    for batch in ("first", "first", "second", "first", "second"):
+        table.merge(harvests[batch], batch)
+    return table.read().select("attr", F.array_join(F.transform("papers", lambda p: p["source"]), ",").alias("sources"), F.lit(table.version()).cast("long").alias("version"))
+
+
 @query("d02_cause_labels", f"WITH {plans_audits._CAUSES} SELECT attribute, array_to_string(list_sort(list_filter(causes, lambda x: x <> 'none_detected')), ',') AS labels FROM causes")
 def d02_labels(spark, sf_dir) -> DataFrame:
     """Labels found in the text of the causes, as an audit would state them."""

@@ -68,6 +68,21 @@ def a18(spark, sf_dir) -> DataFrame:
     return quality.numeric_summary(_t(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"])
 
 
+_CATEGORIES = "SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'o_custkey', o_custkey::VARCHAR, count(*) FROM orders GROUP BY 2"
+
+
+@query("a18_category_counts", f"SELECT \"column\", value, n, (row_number() OVER (PARTITION BY \"column\" ORDER BY value))::INT AS by_value, (row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value))::INT AS by_count, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) <= 5 AS in_top FROM ({_CATEGORIES})")
+def a18_categories(spark, sf_dir) -> DataFrame:
+    """Counts of categories in the order of their values and of their counts, the five commonest marked."""
+    return quality.category_counts(_t(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus", "o_custkey"])
+
+
+@query("u04_ordered_distinct", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY first, role))::INT AS place, role FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2)")
+def u04_ordered(spark, sf_dir) -> DataFrame:
+    """The roles of a conversation in the order in which they first speak."""
+    return quality.ordered_distinct(_t(spark, sf_dir, "conversations"), ["conv_id"], "role", "turn")
+
+
 _SPLIT = """cnt AS (SELECT actual, count(*) AS c FROM audit_orders GROUP BY 1),
 parted AS (SELECT o.*, CASE WHEN row_number() OVER (PARTITION BY o.actual ORDER BY md5(concat_ws('|', CAST(record_id AS VARCHAR), '42')), record_id) <= floor(0.2::DOUBLE * c) THEN 'test' ELSE 'train' END AS split FROM audit_orders o JOIN cnt USING (actual))"""
 
@@ -513,3 +528,28 @@ def w05(spark, sf_dir) -> DataFrame:
     calls = _t(spark, sf_dir, "events").where("value <> 0").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
     rows = running.sums_before(calls, "user_id", "at", ["event_id"], "value", "spent")
     return rows.select("event_id", "spent", (F.col("spent") + F.col("value") > 500).alias("over_cap"))
+
+
+@query("s10_saved_transformer", """WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p FROM lineitem),
+b AS (SELECT quantile_cont(q, 0.25) AS q1, quantile_cont(q, 0.75) AS q3, quantile_cont(p, 0.25) AS p1, quantile_cont(p, 0.75) AS p3 FROM t WHERE l_orderkey % 5 <> 0),
+c AS (SELECT l_orderkey, l_linenumber, greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), q)) AS q, greatest(p1 - 1.5 * (p3 - p1), least(p3 + 1.5 * (p3 - p1), p)) AS p FROM t, b),
+m AS (SELECT avg(q) AS mq, stddev_samp(q) AS sq, avg(p) AS mp, stddev_samp(p) AS sp FROM c WHERE l_orderkey % 5 <> 0)
+SELECT l_orderkey, l_linenumber, (q - mq) / sq AS quantity, (p - mp) / sp AS price FROM c, m WHERE l_orderkey % 5 = 0""", rounded=("quantity", "price"))
+def s10(spark, sf_dir) -> DataFrame:
+    """A fitted scaler and its winsorising bounds saved, loaded again and applied to rows that they didn't see."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from auditspark.operators import clean
+    from auditspark.sources import tables
+    from auditspark.sources.workspace import folder
+
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("p"))
+    train, path = rows.where("l_orderkey % 5 <> 0"), folder(spark, "fitted")
+    bounds = written(clean.iqr_bounds(train, ["q", "p"]), "bounds")
+    stages = [VectorAssembler(inputCols=["q", "p"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)]
+    tables.write_fitted(Pipeline(stages=stages).fit(clean.winsorised(train, bounds, ["q", "p"])), bounds, path)
+    model, saved = tables.read_fitted(spark, path)
+    found = model.transform(clean.winsorised(rows.where("l_orderkey % 5 = 0"), saved, ["q", "p"])).withColumn("x", vector_to_array("scaled"))
+    return found.select("l_orderkey", "l_linenumber", F.col("x")[0].alias("quantity"), F.col("x")[1].alias("price"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -81,3 +82,52 @@ def retained(old: DataFrame, new: DataFrame, key: str, papers: str = "papers") -
     poor: Column = n.isNull() | (F.size(n) == 0) | F.forall(n, lambda p: p["source"] == "doi_seed")
     both = old.select(key, F.col(papers).alias("old")).join(new.select(key, F.col(papers).alias("new")), key, "full")
     return both.select(key, F.when(poor & o.isNotNull(), o).otherwise(n).alias(papers), (poor & o.isNotNull()).alias("kept_old"))
+
+
+class EvidenceTable:
+    """Evidence by key in versions: a merge writes the next version aside and then names it in the manifest.
+
+    The manifest is a table to which each merge appends one row (version, folder, batch); readers follow its last version.
+    The append is the switch: before it nobody sees the new files, after it everybody does, and a merge that stops in
+    between leaves the table as it was. A batch that the manifest holds is not merged again. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "attr", papers: str = "papers"):
+        self.spark, self.path, self.key, self.papers = spark, path.rstrip("/"), key, papers
+
+    def _manifest(self) -> DataFrame:
+        return self.spark.read.schema("version long, folder string, batch string").parquet(f"{self.path}/manifest")
+
+    def _switch(self, version: int, df: DataFrame, batch: str) -> None:
+        folder = f"v{version}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        row = self.spark.createDataFrame([(version, folder, batch)], "version long, folder string, batch string")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def create(self, df: DataFrame, batch: str) -> None:
+        """The first version."""
+        self._switch(0, df.select(self.key, self.papers), batch)
+
+    def version(self) -> int:
+        return self._manifest().agg(F.max("version")).first()[0]
+
+    def read(self) -> DataFrame:
+        last = self._manifest().orderBy(F.desc("version")).first()
+        return self.spark.read.parquet(f"{self.path}/{last.folder}")
+
+    def merge(self, new: DataFrame, batch: str) -> bool:
+        """The new harvest over the table, old evidence winning over empty and seed-only rows; False if it was merged before."""
+        if not self._manifest().where(F.col("batch") == batch).isEmpty():
+            return False
+        self._switch(self.version() + 1, retained(self.read(), new, self.key, self.papers).drop("kept_old"), batch)
+        return True
+
+
+def write_fitted(model: PipelineModel, bounds: DataFrame, path: str) -> None:
+    """A fitted feature pipeline with the one row of bounds that belongs to it."""
+    write_model(model, f"{path}/pipeline")
+    bounds.write.mode("overwrite").parquet(f"{path}/bounds")
+
+
+def read_fitted(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+    return PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/bounds")
