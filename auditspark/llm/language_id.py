@@ -6,9 +6,10 @@ mean of all. Viterbi then labels the words of a text, a change of language costi
 label are spans. The document's language is the one with most letters, its score that language's share of the letters.
 
 A word in a script that no language was learned in, or without a known letter group, belongs to no language: its span is
-``und`` and its letters count in the share for none. A document is ``und`` with score 0 if such letters are the most, or
-if the words of its main language are too unlike it: their mean log-likelihood a letter group must reach half way from
-the language's own mean to that of the learned language nearest to it, less ``DOUBT`` standard errors for few letters.
+``und`` and its letters count in the share for none. Every text with a letter still gets the learned language that it is
+likest to. Whether that language is ``known`` to be the text's is a column of its own: not if letters of no language are the
+most, nor if the words of the main language are too unlike it: their mean log-likelihood a letter group must reach half way
+from the language's own mean to that of the learned language nearest to it, less ``DOUBT`` standard errors for few letters.
 
 Viterbi runs over many texts of similar length at once: step t handles the t-th word of every text that has one.
 
@@ -296,7 +297,7 @@ def _labelled(texts: list[list[str]], cache: _Scores) -> tuple[np.ndarray, np.nd
 
 
 def predicted(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row."""
+    """(id, lang_pred, score, known) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, langs = _Scores(model), np.array([*model["langs"], "und"], object)
@@ -306,18 +307,23 @@ def predicted(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             labels, number, at = _labelled(texts, cache)
             sizes = np.array([len(w) for ws in texts for w in ws], np.float64)
             letters = np.bincount(number * (cache.n + 1) + labels, sizes, len(texts) * (cache.n + 1)).reshape(len(texts), -1)
-            total, best = letters.sum(1), letters.argmax(1)
-            best[total == 0] = cache.n
+            total, best = letters.sum(1), np.full(len(texts), cache.n)
+            if cache.n:
+                best = letters[:, :-1].argmax(1)
+                for k in np.flatnonzero((letters[:, :-1].sum(1) == 0) & (total > 0)):  # no word of any language: the likeliest one
+                    best[k] = cache.likelihood[at[number == k]].sum(0).argmax()
+                best[total == 0] = cache.n
             main = np.flatnonzero((labels == best[number]) & (labels < cache.n))
             likelihood = np.bincount(number[main], cache.likelihood[at[main], labels[main]], len(texts))
             mean = likelihood / np.maximum(np.bincount(number[main], group_numbers(sizes[main]), len(texts)), 1)
-            unlike = mean + DOUBT * deviation[best] / np.sqrt(np.maximum(letters.max(1), 1)) < least[best]
-            best[unlike] = cache.n
-            score = np.where(best < cache.n, letters.max(1) / np.maximum(total, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[best], pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
+            own = letters[np.arange(len(texts)), best]
+            like = mean + DOUBT * deviation[best] / np.sqrt(np.maximum(own, 1)) >= least[best]
+            known = (best < cache.n) & like & (own >= letters[:, -1]) & (own > 0)
+            score = np.where(best < cache.n, own / np.maximum(total, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[best], pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.bool_())], names=["id", "lang_pred", "score", "known"])
 
     rows = id_text(df, id_col, text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, known boolean")
 
 
 def spans(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,9 +352,9 @@ def spans(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
 
 def languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score) of every row, learned from the rows' own known languages."""
+    """(id, held_out, lang_pred, score, known) of every row, learned from the rows' own known languages."""
     out = predicted(df, fit(df, id_col, text_col, lang_col), id_col, text_col)
-    return out.select(F.col("id").alias(id_col), F.coalesce(~learnable(F.col("id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select(F.col("id").alias(id_col), F.coalesce(~learnable(F.col("id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "known")
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

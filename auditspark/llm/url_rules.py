@@ -74,25 +74,44 @@ def _within(inner: str, outer: str) -> Column:
     return F.size(F.array_except(inner, outer)) == 0
 
 
+def _chosen(parts: Column) -> Column:
+    """All ways to take one element of each array."""
+    start = F.array(F.array().cast("array<string>"))
+    return F.aggregate(parts, start, lambda done, part: F.flatten(F.transform(done, lambda d: F.transform(part, lambda x: F.array_append(d, x)))))
+
+
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (items, sure, often, anchor) for ``blocked`` from rows (tokens, blocked), written to the shared folder.
 
-    Only the blocked rows are mined for combinations, so the tree grows with them alone; how often each combination occurs
-    among all labelled rows is counted exactly afterwards, by a join of distinct token sets on its rarest token.
+    Two cuts keep FP-growth small and lose no rule, since a rule that contains one no less sure is needless anyway: a token
+    that only blocked rows have is a rule by itself and leaves the rows that are mined; tokens that occur in exactly the
+    same rows are mined as one and the rules found are given for each of them. Only blocked rows are mined, so the tree
+    grows with them alone; how often each combination occurs among all labelled rows is counted exactly afterwards, by a
+    join of distinct token sets on its rarest token.
     """
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "items array<string>, sure double, often double, anchor string")
     total = labelled.agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).first()
     if not total["blocked"]:
         return none
-    share = min(1.0, support * total["n"] / total["blocked"])
-    model = FPGrowth(itemsCol="tokens", minSupport=share).fit(labelled.where("blocked AND size(tokens) > 0").select("tokens"))
+    least = support * total["n"]
+    kinds = written(labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")), "token-sets")
+    exploded = kinds.select(F.explode("tokens").alias("anchor"), "tokens", "n", "blocked")
+    where = F.struct(F.bit_xor(F.xxhash64("tokens")).alias("x"), F.sum(F.xxhash64("tokens", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.count("*").alias("sets"))
+    uses = written(exploded.groupBy(F.col("anchor").alias("token")).agg(F.sum("n").alias("uses"), F.sum("blocked").alias("freq"), where.alias("where")), "tokens")
+    often = uses.where(F.col("freq") >= least)
+    alone = often.where("freq = uses").select(F.array("token").alias("items"), F.lit(1.0).alias("sure"), (F.col("freq") / total["n"]).alias("often"), F.col("token").alias("anchor"))
+    classes = written(often.where("freq < uses").groupBy("where").agg(F.min("token").alias("token"), F.collect_list("token").alias("members")).drop("where"), "token-classes")
+    row = kinds.where("blocked > 0").select(F.xxhash64("tokens").alias("h"), "tokens", "blocked", F.explode("tokens").alias("token")).join(classes.select("token"), "token")
+    rows = row.groupBy("h", "tokens", "blocked").agg(F.collect_list("token").alias("items"))
+    rows = written(rows.select("items", F.explode(F.sequence(F.lit(1), F.col("blocked").cast("int")))).select("items"), "blocked-rows")
+    held = rows.count()
+    if not held or held < least:
+        return written(alone, "rules")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / held)).fit(rows)
     # FP-growth's share is of the rows with tokens only, and rounded up: sets below the support go here
-    found = written(model.freqItemsets.where(F.col("freq") >= support * total["n"]).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
-    kinds = written(labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("n")), "token-sets")
-    exploded = kinds.select(F.explode("tokens").alias("anchor"), "tokens", "n")
-    uses = exploded.groupBy(F.col("anchor").alias("token")).agg(F.sum("n").alias("uses"))
-    anchored = written(_anchored(found, uses), "anchored")
+    found = written(model.freqItemsets.where(F.col("freq") >= least).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    anchored = written(_anchored(found, uses.select("token", "uses")), "anchored")
     counts = anchored.select("items", "anchor").join(exploded, "anchor").where(_within("items", "tokens")).groupBy("items").agg(F.sum("n").alias("n"))
     sure = anchored.join(counts, "items").select("items", (F.col("freq") / F.col("n")).alias("sure"), (F.col("freq") / total["n"]).alias("often"), "anchor")
     sure = written(sure.where(F.col("sure") >= confidence), "sure-rules")
@@ -100,7 +119,10 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     small = sure.select(F.col("items").alias("part"), F.col("sure").alias("part_sure"), "anchor")
     large = sure.select("items", "sure", F.explode("items").alias("anchor"))
     needless = large.join(small, "anchor").where((F.size("part") < F.size("items")) & (F.col("part_sure") >= F.col("sure")) & _within("part", "items"))
-    return written(sure.join(needless.select("items").distinct(), "items", "left_anti"), "rules")
+    kept = sure.join(needless.select("items").distinct(), "items", "left_anti")
+    each = kept.select("items", "sure", "often", F.explode("items").alias("token")).join(classes, "token").groupBy("items", "sure", "often").agg(F.collect_list("members").alias("parts"))
+    each = written(each.select(F.explode(_chosen(F.col("parts"))).alias("items"), "sure", "often").withColumn("items", F.array_sort("items")), "expanded")
+    return written(_anchored(each, uses.select("token", "uses")).select("items", "sure", "often", "anchor").unionByName(alone), "rules")
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float, float]]:
