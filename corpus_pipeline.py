@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are like a learned language, with at least ``LEAST_SHARE`` of their letters in it."""
     found = language_id.languages(docs)
-    rejected = written(found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)).select("doc_id"), "unknown-language")
+    rejected = written(found.where(~F.col("known") | (F.col("score") < LEAST_SHARE)).select("doc_id"), "unknown-language")
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
