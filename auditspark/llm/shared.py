@@ -53,10 +53,14 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to at most ``rows`` rows, so that Python objects of one slice only are alive at a time."""
+    """Arrow batches cut to at most ``rows`` rows, so that Python objects of one slice only are alive at a time.
+
+    What Arrow keeps of earlier batches goes back to the system after each: workers live on through many stages.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def by_length(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -74,6 +78,7 @@ def by_length(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterat
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, "right"))))
             yield batch.take(pa.array(order[at:to]))
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def sampled_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
