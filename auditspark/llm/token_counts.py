@@ -1,9 +1,12 @@
 """Operator 7: token counts that follow edits, by a segment tree over each document's pre-tokens.
 
-A document is cut where the splitting pattern must cut (at a single space between two other characters), about
-``LEAF_WORDS`` words to a leaf; the tree holds the sums of characters and tokens below each node. An edit descends by
-character sums to the leaves it touches, takes in a neighbouring leaf where the text around its border no longer forces
-a cut, encodes that region only, and updates the sums on the way up. The count is always that of encoding the whole text.
+A document is cut where the splitting pattern must cut (before white space or punctuation that follows a word), about
+``LEAF_WORDS`` such places to a leaf; the tree holds the sums of characters and tokens below each node. An edit descends
+by character sums to the leaves it touches, takes in a neighbouring leaf where the text around its border no longer
+forces a cut, encodes that region only, and updates the sums on the way up. A region that has grown to more than twice a
+leaf is cut into leaves again, so an edit encodes what it inserts and a few leaves, however much was inserted before. The
+count is always that of encoding the whole text. A leaf is never shorter than a pre-token, so letters without any white
+space or punctuation between them are one leaf, as they are one word of the vocabulary's pattern.
 Trees are a table (``planted``): a batch of edits reads it and gives the next one (``updated``), and encodes edited regions only.
 
 Cases: a null text counts as empty (no tokens); null or no edits change nothing, nor does an edit whose start or end is
@@ -24,44 +27,57 @@ from pyspark.sql import functions as F
 from auditspark.llm.byte_tokens import ByteTokens, byte_tokens
 from auditspark.llm.shared import slices, small_batches, tokenizer_path, written
 
-#: Words a leaf.
+#: Places where a leaf may be cut, for each leaf.
 LEAF_WORDS = 32
 #: What the scrubbing query replaces: addresses, links, and numbers of five digits or more.
 SCRUBBED = re.compile(r"(?P<mail>[\w.+-]+@[\w-]+\.[\w.]+)|(?P<link>https?://\S+)|(?P<number>\d[\d ().-]{3,}\d)")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A pre-token begins at white space after anything else, and at punctuation after a letter or digit. The characters are
+#: those of which every version of Unicode says the same.
+_LETTERS = "0-9A-Za-zÀ-ÖØ-öø-ɏЀ-ҁぁ-ゖァ-ヺ一-龥가-힣"
+_CUT = re.compile(rf"[ \t\n\r!-/:-@\[-`{{-~、。，！？；：](?:(?<=\S[ \t\n\r])|(?<=[{_LETTERS}][^ \t\n\r]))")
 
 
 class CountTree:
     """Segment tree over the leaves of one text: ``chars`` and ``tokens`` hold the sums below each node, the root at 1."""
 
     def __init__(self, text: str, tokens: ByteTokens, leaf_words: int = LEAF_WORDS):
-        cuts = [m.start() for m in _CUT.finditer(text)][leaf_words - 1 :: leaf_words]
-        leaves = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        # A leaf after a cut starts with a space; without it, its first word would be encoded as at a text's start.
-        counts = [len(x) // 4 for x in tokens.encode([leaves[0], *("x" + leaf for leaf in leaves[1:])])]
-        self._start(leaves, tokens)
-        for k, leaf in enumerate(leaves):
-            self.tokens[self.base + k] = counts[k] - (k > 0)  # "x" is a token of its own before a space
-            self.chars[self.base + k] = len(leaf)
+        self._start(tokens, leaf_words)
+        leaves = self._cut(text)
+        self._plant(leaves, self._counts(leaves, False))
+
+    def _start(self, tokens: ByteTokens, leaf_words: int) -> None:
+        self.encoder, self.leaf_words, self.encoded = tokens, leaf_words, 0
+
+    def _cut(self, text: str) -> list[str]:
+        cuts = [m.start() for m in _CUT.finditer(text)][self.leaf_words - 1 :: self.leaf_words]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
+    def _counts(self, leaves: list[str], lead: bool) -> list[int]:
+        """Tokens of leaves that follow each other; ``lead``: whether text comes before them."""
+        # A leaf inside a text is encoded behind "x", which is a token of its own there: its start isn't a text's start.
+        follows = [lead, *[True] * (len(leaves) - 1)]
+        ids = self.encoder.encode([f"x{leaf}" if f else leaf for leaf, f in zip(leaves, follows, strict=True)])
+        return [len(x) // 4 - f for x, f in zip(ids, follows, strict=True)]
+
+    def _plant(self, leaves: list[str], counts: list[int]) -> None:
+        """Leaves with their tokens and the sums over them; nothing is encoded."""
+        self.leaves = leaves
+        self.base = 1 << (len(leaves) - 1).bit_length()
+        spare = [0] * (self.base - len(leaves))
+        self.tokens = [0] * self.base + counts + spare
+        self.chars = [0] * self.base + [len(leaf) for leaf in leaves] + spare
         for k in range(self.base - 1, 0, -1):
             self._sum(k)
 
-    def _start(self, leaves: list[str], tokens: ByteTokens) -> None:
-        self.leaves, self.encoded = leaves, 0
-        self.count = lambda t: len(tokens.encode([t])[0]) // 4
-        self.base = 1 << (len(leaves) - 1).bit_length()
-        self.tokens = [0] * (2 * self.base)
-        self.chars = [0] * (2 * self.base)
-
     @classmethod
-    def stored(cls, text: str, chars: list[int], sums: list[int], tokens: ByteTokens) -> CountTree:
+    def stored(cls, text: str, chars: list[int], sums: list[int], tokens: ByteTokens, leaf_words: int = LEAF_WORDS) -> CountTree:
         """The tree with these sums over a text; nothing is encoded."""
         tree, base, at, leaves = cls.__new__(cls), len(chars) // 2, 0, []
         for n in chars[base:]:
             leaves.append(text[at : at + n])
             at += n
-        tree._start(leaves, tokens)
-        tree.chars, tree.tokens = list(chars), list(sums)
+        tree._start(tokens, leaf_words)
+        tree.leaves, tree.base, tree.chars, tree.tokens = leaves, base, list(chars), list(sums)
         return tree
 
     def _sum(self, k: int) -> None:
@@ -106,16 +122,28 @@ class CountTree:
         high = self.find(end - 1)[0] if end > start else low
         region = "".join(self.leaves[low : high + 1])
         region = region[:at] + text + region[at + end - start :]
-        while (left := self._beside(low, -1)) is not None and not _CUT.match((self.leaves[left][-1] + region)[:3], 1):
+        while (left := self._beside(low, -1)) is not None and not _CUT.match(self.leaves[left][-1] + region[:1], 1):
             region, low = self.leaves[left] + region, left
-        while (right := self._beside(high, 1)) is not None and not (region and _CUT.match(region[-1] + self.leaves[right][:2], 1)):
+        while (right := self._beside(high, 1)) is not None and not (region and _CUT.match(region[-1] + self.leaves[right][:1], 1)):
             region, high = region + self.leaves[right], right
         self.encoded += len(region)
-        for leaf in range(low + 1, high + 1):
-            if self.leaves[leaf]:
-                self._set(leaf, "", 0)
-        lead = low > 0 and self._beside(low, -1) is not None
-        self._set(low, region, self.count("x" + region) - 1 if lead else self.count(region))
+        pieces = self._cut(region)
+        if len(pieces) <= 2:  # only a region of twice a leaf is split, so each split follows as many insertions
+            pieces = [region]
+        counts = self._counts(pieces, self._beside(low, -1) is not None)
+        room = high + 1 - low
+        if len(pieces) > room:
+            first, last, of = self.base + low, self.base + high, self.tokens
+            leaves = [*self.leaves[:low], *pieces, *self.leaves[high + 1 :]]
+            counts = [*of[self.base : first], *counts, *of[last + 1 : self.base + len(self.leaves)]]
+            kept = [k for k, leaf in enumerate(leaves) if leaf]
+            self._plant([leaves[k] for k in kept], [counts[k] for k in kept])
+            return
+        for k in range(room):
+            if k < len(pieces):
+                self._set(low + k, pieces[k], counts[k])
+            elif self.leaves[low + k]:
+                self._set(low + k, "", 0)
 
     def text(self) -> str:
         return "".join(self.leaves)
