@@ -31,6 +31,8 @@ from auditspark.llm.shared import id_text, sampled_ids, slices
 
 #: Most labelled rows of a fit, most voters, least labelled-1 rows in which a mined voter fires.
 SAMPLE, VOTERS, LEAST_ROWS = 20_000, 400, 5
+#: The same for repeated beginnings where few rows have label 1; it grows by one for each hundred, up to ``LEAST_ROWS``.
+LEAST_REPEATED = 3
 #: From this score on a text counts as toxic.
 THRESHOLD = 0.3
 #: Lengths of word beginnings.
@@ -107,7 +109,9 @@ def mined_voters(sample: DataFrame, most: int = VOTERS) -> list[str]:
         return fixed
     counts = sample.select("text", "label").mapInArrow(run, "feature string, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     odds = F.log((F.col("ones") + 0.5) / (n1 + 1)) - F.log((F.col("zeros") + 0.5) / (n0 + 1))
-    found = counts.where((F.col("ones") >= LEAST_ROWS) & (odds > 1.5)).orderBy(F.desc(odds * F.sqrt("ones")), "feature").limit(most)
+    repeated = F.substring("feature", 1, 2).isin("r:", "s:")
+    least = F.when(repeated, min(LEAST_ROWS, LEAST_REPEATED + n1 // 100)).otherwise(LEAST_ROWS)
+    found = counts.where((F.col("ones") >= least) & (odds > 1.5)).orderBy(F.desc(odds * F.sqrt("ones")), "feature").limit(most)
     return fixed + [r["feature"] for r in found.collect() if r["feature"] not in fixed]
 
 
