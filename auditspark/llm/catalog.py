@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from auditspark.llm import alignment, exact_dedup, importance, language_id, media_columns, near_dedup, neighbours, packing, piece_codec, token_counts, toxicity, url_rules, warc_bundles
+from auditspark.llm import alignment, exact_dedup, importance, language_id, media_columns, near_dedup, neighbours, packing, piece_codec, stages, token_counts, toxicity, url_rules, warc_bundles
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
@@ -19,7 +18,7 @@ QUERIES = {
     "op11_alignment": alignment.op11_alignment,
     "op12_neighbours": neighbours.op12_neighbours,
     "op13_importance": importance.op13_importance,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": stages.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc_bundles.ORACLE,
