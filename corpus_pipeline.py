@@ -1,67 +1,9 @@
-"""The corpus pipeline: toxic documents go, then those of no known language, exact copies, near copies; the rest is packed.
+"""The corpus pipeline; its stages are described in ``auditspark.llm.stages``.
 
-Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last returns the
-pieces of the packed sequences. Stages work on all that their predecessor kept.
+Stages take (spark, docs, sf_dir); ``run`` applies them to the documents table. Trained models and packing have no SQL
+form, so ``ORACLE_SQL`` is None and the stages are tested against brute force.
 """
 
-from __future__ import annotations
+from auditspark.llm.stages import ORACLE_SQL, STAGES, drop_exact_copies, drop_near_copies, drop_toxic, keep_known_languages, pack, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from auditspark.llm import exact_dedup, language_id, near_dedup, packing, toxicity
-from auditspark.llm.shared import tokenizer_path, written
-
-#: Documents whose main language has less than this share of the letters are rejected.
-LEAST_SHARE = 0.3
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted to be toxic; the labels are those of the labels table."""
-    scores = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = written(scores.where("predicted = 1").select("doc_id"), "toxic")
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
-
-
-def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are like a learned language, with at least ``LEAST_SHARE`` of their letters in it."""
-    found = language_id.languages(docs)
-    rejected = written(found.where(~F.col("known") | (F.col("score") < LEAST_SHARE)).select("doc_id"), "unknown-language")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
-
-
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts, that with the smallest id."""
-    dropped = written(exact_dedup.exact_duplicates(docs).where("NOT kept").select("doc_id"), "copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (similarity 0.8 and more of five-word shingles), that with the smallest id."""
-    dropped = written(near_dedup.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id"), "near-copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
-    return packing.packed_documents(docs, tokenizer_path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("language ID", keep_known_languages),
-    ("exact dedup", drop_exact_copies),
-    ("MinHash near-dedup", drop_near_copies),
-    ("best-fit packing", pack),
-]
-
-#: Trained models and packing have no SQL form; the stages are tested against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's rows are written before the next one starts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "drop_exact_copies", "drop_near_copies", "drop_toxic", "keep_known_languages", "pack", "run"]
