@@ -522,12 +522,19 @@ def f06(spark, sf_dir) -> DataFrame:
     return views.orders(spark, sf_dir).agg(F.avg("actual").alias("positive_rate")).withColumn("usable", F.col("positive_rate") >= 0.05)
 
 
-@query("w05_running_spend", "WITH e AS (SELECT event_id, user_id, ts, value FROM events WHERE value <> 0) SELECT event_id, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + value > 500 AS over_cap FROM e", rounded=('spent',))
+@query("w05_running_spend", """WITH e AS (SELECT event_id, user_id, ts, TRY_CAST(value AS DECIMAL(38, 6)) AS value FROM events WHERE value <> 0),
+s AS (SELECT event_id, value, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST, value NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM e)
+SELECT event_id, spent::DOUBLE AS spent, spent + value > 500 AS over_cap FROM s""")
 def w05(spark, sf_dir) -> DataFrame:
-    """What each user had spent before a call, and whether the call passes the cap; ledger entries of 0 are skipped."""
-    calls = _t(spark, sf_dir, "events").where("value <> 0").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
-    rows = running.sums_before(calls, "user_id", "at", ["event_id"], "value", "spent")
-    return rows.select("event_id", "spent", (F.col("spent") + F.col("value") > 500).alias("over_cap"))
+    """What each user had spent before a call, and whether the call passes the cap; ledger entries of 0 are skipped.
+
+    Amounts are added as decimals of six places: in doubles, whether a sum of exactly 500 passes the cap hangs on the order
+    of additions. An amount that isn't finite adds nothing, and whether its own call passes is null.
+    """
+    amount = F.col("value").try_cast("decimal(38,6)").alias("value")
+    calls = _t(spark, sf_dir, "events").where("value <> 0").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), amount)
+    rows = running.sums_before(calls, "user_id", "at", ["event_id", "value"], "value", "spent")
+    return rows.select("event_id", F.col("spent").cast("double").alias("spent"), (F.col("spent") + F.col("value") > 500).alias("over_cap"))
 
 
 @query("s10_saved_transformer", """WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p FROM lineitem),
