@@ -1,9 +1,10 @@
 """Trees and forests by binned histograms: every level of all trees is one aggregation.
 
-Features are cut at given edges, so a row is a few small numbers, written once. For each level the rows' weights and
-positives are summed by (tree, node, feature, bin), a window over these few sums finds each node's best cut by Gini
-impurity, and the cuts (at most 2 ^ depth a tree) are all that the driver sees. A tree's bootstrap weights are Poisson
-numbers from the digest of (row, tree); the features a node may use come from a digest of (tree, node, feature).
+Features are cut at given edges, so a row is a few small numbers. A tree's weights and positives of rows with equal
+numbers are added up in one scan and written, at most as many as the numbers have combinations, however many rows there
+are. For each level those are summed by (tree, node, feature, bin), a window over these few sums finds each node's best cut
+by Gini impurity, and the cuts (at most 2 ^ depth a tree) are all that the driver sees. A tree's bootstrap weights are
+Poisson numbers from the digest of (row, tree); the features a node may use come from a digest of (tree, node, feature).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from auditspark.sources.workspace import written
 
 #: Chances of a Poisson number of mean 1 to be at most 0, 1, 2, ...
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+_DIGITS = [f"{int(u * 2**32):08x}" for u in POISSON]
 
 
 def edges(df: DataFrame, features: Sequence[str], bins: int = 32) -> dict[str, list[float]]:
@@ -36,8 +38,8 @@ class Forest:
         self.gains: dict[tuple[int, int, str], float] = {}
         self.shares: dict[tuple[int, int], float] = {}
 
-    def binned(self) -> Column:
-        return F.array(*[running.ranges(F.col(f).cast("double"), self.cuts[f]) for f in self.features])
+    def bins(self) -> list[Column]:
+        return [running.ranges(F.col(f).cast("double"), self.cuts[f]) for f in self.features]
 
     def node(self, tree: int, bins: Column) -> Column:
         """The node of a tree that a row is in: its cuts as comparisons."""
@@ -52,7 +54,7 @@ class Forest:
 
     def score(self, trees: int) -> Column:
         """The mean of the trees' shares of positives."""
-        bins = self.binned()
+        bins = F.array(*self.bins())
         total = F.lit(0.0)
         for t in range(trees):
             here, out = self.node(t, bins), None
@@ -74,18 +76,33 @@ class Forest:
         return spark.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])), "feature string, importance double")
 
 
-def _placed(rows: DataFrame, forest: Forest, trees: int, level: int, seed: int) -> DataFrame:
+def _weighted(rows: DataFrame, trees: int, seed: int) -> DataFrame:
+    """(tree, w, p, bins) of the rows' ``bins`` that a tree draws, equal ones added up: weights and weighted positives.
+
+    A row's digests are taken once, not for every level; what levels read grows with the different bins, not with the rows.
+    """
+    n = len(rows.schema["bins"].dataType.names)
+    if trees == 1:
+        drawn = rows.select(F.lit(0).alias("tree"), F.lit(1.0).alias("w"), "y", "bins.*")
+    else:
+        spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a small file is one task
+        drawn = spread.select("row", "y", "bins.*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        # A digest's first eight hexadecimal digits are in the order of the numbers that they stand for.
+        digits = F.substring(F.md5(F.concat_ws("|", "row", "tree", F.lit(seed))), 1, 8)
+        drawn = drawn.withColumn("digits", digits).where(F.col("digits") > _DIGITS[0]).withColumn("w", running.ranges(F.col("digits"), _DIGITS).cast("double"))
+    names = [f"b{k}" for k in range(n)]
+    added = drawn.groupBy("tree", *names).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("p"))
+    return added.select("tree", "w", "p", F.array(*names).alias("bins"))
+
+
+def _placed(rows: DataFrame, forest: Forest, level: int) -> DataFrame:
     """(tree, node, w, p, bins) of the rows in nodes of a level: a join with each earlier level's cuts, at most 2 ^ level a tree."""
-    out = rows.select("row", "y", "bins", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).alias("node"))
+    out = rows.withColumn("node", F.lit(1))
     for earlier in range(level):
         cuts = [(t, n, f, b) for (t, n), (f, b) in forest.splits.items() if n >> earlier == 1]
         table = rows.sparkSession.createDataFrame(cuts, "tree int, node int, feature int, cut int")
         out = out.join(F.broadcast(table), ["tree", "node"]).withColumn("node", 2 * F.col("node") + (F.col("bins")[F.col("feature")] > F.col("cut")).cast("int")).drop("feature", "cut")
-    if trees == 1:
-        return out.select("tree", "node", F.lit(1.0).alias("w"), F.col("y").alias("p"), "bins")
-    out = out.withColumn("u", F.conv(F.substring(F.md5(F.concat_ws("|", "row", "tree", F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0)
-    out = out.withColumn("w", running.ranges(F.col("u"), POISSON).cast("double")).where("w > 0")
-    return out.select("tree", "node", "w", (F.col("w") * F.col("y")).alias("p"), "bins")
+    return out.select("tree", "node", "w", "p", "bins")
 
 
 def grown(df: DataFrame, features: Sequence[str], target: str, key: str, cuts: dict[str, list[float]] | None = None, trees: int = 20, depth: int = 4, tried: int | None = None, seed: int = 42) -> Forest:
@@ -97,10 +114,11 @@ def grown(df: DataFrame, features: Sequence[str], target: str, key: str, cuts: d
     cuts = cuts or edges(df, features)
     forest = Forest(features, cuts)
     tried = tried or (len(features) if trees == 1 else max(1, round(len(features) ** 0.5)))
-    rows = df.where(F.col(target).isNotNull()).select(F.col(key).cast("string").alias("row"), F.col(target).cast("double").alias("y"), F.coalesce(forest.binned(), F.array()).alias("bins"))
-    rows = written(rows, "binned")
+    bins = F.struct(*[c.alias(f"b{k}") for k, c in enumerate(forest.bins())])
+    rows = df.where(F.col(target).isNotNull()).select(F.col(key).cast("string").alias("row"), F.col(target).cast("double").alias("y"), bins.alias("bins"))
+    rows = written(_weighted(rows, trees, seed), "weighted")
     for level in range(depth + 1):
-        cells = _placed(rows, forest, trees, level, seed).select("tree", "node", "w", "p", F.posexplode("bins").alias("feature", "bin"))
+        cells = _placed(rows, forest, level).select("tree", "node", "w", "p", F.posexplode("bins").alias("feature", "bin"))
         cells = cells.groupBy("tree", "node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("p").alias("p"))
         node = Window.partitionBy("tree", "node", "feature")
         upto = node.orderBy("bin")
