@@ -91,3 +91,8 @@ def byte_tokens(path: str) -> ByteTokens:
     if path not in _tokens:
         _tokens[path] = ByteTokens(path)
     return _tokens[path]
+
+
+def forget() -> None:
+    """Drops the worker's encoders."""
+    _tokens.clear()

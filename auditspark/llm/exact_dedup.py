@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.shared import written
+from auditspark.llm.shared import lean, written
 
 #: Counters of a summary, and the most rows that are broadcast.
 COUNTERS = 512
@@ -49,7 +49,7 @@ def summaries(keys: DataFrame, counters: int = COUNTERS) -> DataFrame:
                 kept = Counter({k: v - cut for k, v in kept.items() if v > cut})
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["digest", "low"])
 
-    return keys.select("digest").mapInArrow(run, "digest string, low long")
+    return keys.select("digest").mapInArrow(lean(run), "digest string, low long")
 
 
 def frequent(keys: DataFrame, counters: int = COUNTERS) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.shared import by_length, id_text, sampled_ids, slices
+from auditspark.llm.shared import by_length, id_text, lean, sampled_ids, slices
 from auditspark.llm.toxicity import learnable
 
 #: Most rows of a fit, most letter groups, cost of a change of language, bound of a word's score.
@@ -107,7 +107,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         cols = list(zip(*((*k, n) for k, n in counts.items()), strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "item", "n"])
 
-    counted = sample.mapInArrow(run, "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(lean(run), "lang string, kind string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
     table = counted.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).where("total >= 3 OR kind = 'script'")
     rows = table.orderBy(F.col("kind") != "script", F.desc("total"), "item").limit(GROUPS).collect()
     langs = sorted({x["lang"] for r in rows for x in r["by"]})
@@ -323,7 +323,7 @@ def predicted(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[best], pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.bool_())], names=["id", "lang_pred", "score", "known"])
 
     rows = id_text(df, id_col, text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, known boolean")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, known boolean")
 
 
 def spans(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,7 +348,7 @@ def spans(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))], names=["id", "spans"])
 
     rows = id_text(df, id_col, text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<start:int,end:int,lang:string>>")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.byte_tokens import byte_tokens
-from auditspark.llm.shared import id_text, slices, tokenizer_path, written
+from auditspark.llm.byte_tokens import byte_tokens, forget
+from auditspark.llm.shared import id_text, lean, slices, tokenizer_path, written
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 1024, 2
@@ -61,7 +61,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["id", "piece", "start", "length", "ids_crc32"])
 
     rows = id_text(df, id_col, text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(run, "packing", forget), f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:
@@ -213,7 +213,7 @@ def _epoch(state: DataFrame, room: int, number: int) -> DataFrame:
             out = [evolve([int(s) for s in r.sizes], [np.asarray(g) for g in r.genomes], room, f"{r.shard}/{r.island}/{number}") for r in b.itertuples()]
             yield b.assign(genomes=[[g.tolist() for g in gs] for gs in out])
 
-    return state.mapInPandas(run, _GENOMES)
+    return state.mapInPandas(lean(run, "packing", forget), _GENOMES)
 
 
 def packed(items: DataFrame, room: int = LENGTH, shard_items: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.shared import id_text, sampled_ids, slices
+from auditspark.llm.shared import id_text, lean, sampled_ids, slices
 
 #: Most labelled rows of a fit, most voters, least labelled-1 rows in which a mined voter fires.
 SAMPLE, VOTERS, LEAST_ROWS = 20_000, 400, 5
@@ -107,7 +107,7 @@ def mined_voters(sample: DataFrame, most: int = VOTERS) -> list[str]:
     fixed = [f"w:{w}" for w in LEXICON] + [f"p:{p}" for p in PATTERNS]
     if not n1 or not n0:
         return fixed
-    counts = sample.select("text", "label").mapInArrow(run, "feature string, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counts = sample.select("text", "label").mapInArrow(lean(run), "feature string, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     odds = F.log((F.col("ones") + 0.5) / (n1 + 1)) - F.log((F.col("zeros") + 0.5) / (n0 + 1))
     repeated = F.substring("feature", 1, 2).isin("r:", "s:")
     least = F.when(repeated, min(LEAST_ROWS, LEAST_REPEATED + n1 // 100)).otherwise(LEAST_ROWS)
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sorted(votes_of(t, *panel)) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["label", "fired"])
 
-    votes = sample.mapInArrow(run, "label int, fired array<int>").collect()
+    votes = sample.mapInArrow(lean(run), "label int, fired array<int>").collect()
     sample.unpersist()
     labels_ = np.array([r["label"] for r in votes])
     if not len(votes) or labels_.min() == labels_.max():
@@ -227,7 +227,7 @@ def scored(df: DataFrame, model: tuple[list[str], list[float], float], id_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     rows = id_text(df, id_col, text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
